@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm import license_scan as licenses, url_filters as urls
 from docloom.llm.bpe import bpe_encode_decode
 from docloom.llm.license_scan import license_scan
+from docloom.llm.ngram_join import ngram_join
 from docloom.llm.quality_rules import quality_rules
 from docloom.llm.substring_dedup import substring_dedup
 from docloom.llm.token_counts import token_counts
@@ -24,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_ngram_join,
         op3_license_scan,
         op5_token_counts,
         op7_bpe_encode_decode,
