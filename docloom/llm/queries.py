@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import license_scan as licenses, url_filters as urls
 from docloom.llm.bpe import bpe_encode_decode
+from docloom.llm.decontamination import decontamination
+from docloom.llm.html_text import html_extraction
+from docloom.llm.language_id import language_id
 from docloom.llm.license_scan import license_scan
 from docloom.llm.ngram_join import ngram_join
 from docloom.llm.quality_rules import quality_rules
@@ -33,10 +36,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,16 +60,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
         op2_ngram_join,
         op3_license_scan,
+        op4_language_id,
         op5_token_counts,
+        op6_html_extraction,
         op7_bpe_encode_decode,
         op8_url_filters,
         op9_quality_rules,
+        op10_decontamination,
     )
 }
 

@@ -400,3 +400,16 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool
     whole = d.mapInArrow(_result(min_words, with_text), _schema(d, *shape))
     whole = whole.alias("d").join(spans.select("doc_id", "text_key").alias("f"), same("d", "f"), "left_anti")
     return whole.unionByName(changed)
+
+
+def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, with repeated spans cut out of text; other texts stay as they are."""
+    some, found = repeated_windows(docs, min_words)
+    spans = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "mask")).alias("found"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
+    texts = some.alias("d").join(spans.alias("f"), same).select("d.doc_id", "d.text_key", "d.text", "f.found")
+    shape = _schema(docs, ("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string"), ("kept_text", "string"), ("spans", "array<struct<first:bigint,end:bigint>>"))
+    changed = texts.mapInArrow(_result(min_words, True), shape).groupBy("doc_id", "text_key").agg(F.any_value("kept_text").alias("kept_text"))  # rows that repeat
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("text_key")).alias("d")
+    out = rows.join(changed.alias("f"), same, "left").select("d._row", "f.kept_text")
+    return out.select(*[(F.coalesce("kept_text", F.col("_row.text")).alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c)) for c in docs.columns])
