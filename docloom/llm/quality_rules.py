@@ -26,13 +26,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WHITE = " \t\n\x0b\x0c\r"
-FEATURES = ("symbol_share", "upper_share", "word_chars_mean", "dup_line_share", "repeat_share", "distinct_share")
+#: Shares that do not fall or rise with a text's length, so that long texts are judged like short ones.
+FEATURES = ("symbol_share", "upper_share", "word_chars_mean", "dup_line_share", "repeat_share")
 
 
 def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda's variable, which no optimizer rule expands."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _covered(words: Column) -> Column:
     """Words in 3-word windows that are found twice or more."""
     n = F.size(words)
@@ -40,46 +46,40 @@ def _covered(words: Column) -> Column:
         F.sequence(F.lit(0), n - 3),
         lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
     )
-    # transform(array(x), f)[0] binds x once, as a variable of f.
-    repeated = lambda s: F.filter(s, lambda x, i: (x.h == F.get(s, i - 1).h) | (x.h == F.get(s, i + 1).h))
-    found = F.get(F.transform(F.array(F.sort_array(windows)), repeated), F.lit(0))
+    found = _let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: (x.h == F.get(s, i - 1).h) | (x.h == F.get(s, i + 1).h)))
     positions = F.array_distinct(F.flatten(F.transform(found, lambda x: F.array(x.i, x.i + 1, x.i + 2))))
-    return F.when(n >= 3, F.size(positions)).otherwise(0).cast("long")
-
-
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """The rows' doc_id, text and statistics."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("_words"))
-    t = F.col("text")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = words.select(
-        "doc_id",
-        "text",
-        "_words",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(_without(t, _WHITE)).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
-        F.get(F.transform(F.array(lines), lambda a: F.size(a) - F.size(F.array_distinct(a))), F.lit(0)).cast("long").alias("n_dup_lines"),
-        F.get(F.transform(F.array(lines), F.size), F.lit(0)).cast("long").alias("_lines"),
-        _covered(F.col("_words")).alias("n_repeat_words"),
-    )
+    return F.when(n >= 3, F.size(positions)).otherwise(0)
+
+
+def statistics(text: Column) -> Column:
+    """A struct of the base counts and FEATURES of a text; one expression that reads the text once."""
     part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return counted.select(
-        "doc_id",
-        "text",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        part(F.col("n_symbols"), F.col("word_chars")).alias("symbol_share"),
-        part((F.length(t) - F.length(_without(t, UPPER))).cast("long"), F.col("word_chars")).alias("upper_share"),
-        part(F.col("word_chars"), F.col("n_words")).alias("word_chars_mean"),
-        part(F.col("n_dup_lines"), F.col("_lines")).alias("dup_line_share"),
-        part(F.col("n_repeat_words"), F.col("n_words")).alias("repeat_share"),
-        part(F.size(F.array_distinct("_words")).cast("long"), F.col("n_words")).alias("distinct_share"),
-    )
+
+    def counts(t: Column, words: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(_without(t, _WHITE)).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _covered(words).cast("long").alias("n_repeat_words"),
+            (F.length(t) - F.length(_without(t, UPPER))).cast("long").alias("n_upper"),
+            F.size(lines).cast("long").alias("n_lines"),
+        )
+
+    def shares(c: Column) -> Column:
+        base = [c[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(
+            *base,
+            part(c.n_symbols, c.word_chars).alias("symbol_share"),
+            part(c.n_upper, c.word_chars).alias("upper_share"),
+            part(c.word_chars, c.n_words).alias("word_chars_mean"),
+            part(c.n_dup_lines, c.n_lines).alias("dup_line_share"),
+            part(c.n_repeat_words, c.n_words).alias("repeat_share"),
+        )
+
+    words = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    lines = lambda t: F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return _let(F.coalesce(text.cast("string"), F.lit("")), lambda t: _let(words(t), lambda w: _let(lines(t), lambda x: _let(counts(t, w, x), shares))))
 
 
 @dataclass(frozen=True)
@@ -88,8 +88,8 @@ class Condition:
     above: bool
     limit: float
 
-    def column(self) -> Column:
-        c = F.col(self.feature)
+    def column(self, stats: Column) -> Column:
+        c = stats[self.feature]
         return c > F.lit(self.limit) if self.above else c <= F.lit(self.limit)
 
     def holds(self, values: dict[str, np.ndarray]) -> np.ndarray:
@@ -175,24 +175,28 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
         buckets = 1 << 20
         known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(buckets)) < int(buckets * sample / n))
         docs = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast(known.schema["_id"].dataType)), F.lit(buckets)) < int(buckets * sample / n))
-    stats = with_statistics(docs).select(F.col("doc_id").alias("_doc"), *FEATURES, "n_words")
+    stats = docs.select(F.col("doc_id").alias("_doc"), statistics(F.col("text")).alias("s")).select("_doc", *[f"s.{f}" for f in FEATURES])
     rows = stats.join(known, F.col("_doc") == F.col("_id")).select("_id", *FEATURES, "quality").orderBy(F.xxhash64("_id"), "_id", *FEATURES, "quality").limit(2 * sample).collect()
     return cover([tuple(r)[1:] for r in rows])
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], stats: Column) -> Column:
     """The rules as one conditional expression, tried in order: false for low quality, else true."""
     out = None
     for rule in rules:
-        condition = rule[0].column()
+        condition = rule[0].column(stats)
         for c in rule[1:]:
-            condition = condition & c.column()
+            condition = condition & c.column(stats)
         out = F.when(condition, F.lit(False)) if out is None else out.when(condition, F.lit(False))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(stats: Column) -> Column:
+    return (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
+
+
+def is_kept(rules: list[Rule], stats: Column) -> Column:
+    return ~base_failed(stats) & verdict(rules, stats)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
@@ -200,14 +204,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, rules: list[
     base_failed, kept. Rules are learned from ``labels`` unless given."""
     if rules is None:
         rules = learn_rules(docs, labels) if labels is not None else []
-    out = with_statistics(docs).withColumn("base_failed", base_failed())
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
+    judged = docs.select("doc_id", statistics(F.col("text")).alias("s"))
+    s = F.col("s")
+    return judged.select("doc_id", "s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words", base_failed(s).alias("base_failed"), is_kept(rules, s).alias("kept"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is kept."""
     if rules is None:
         rules = learn_rules(docs, labels) if labels is not None else []
-    row = docs.select(F.struct("*").alias("_row"))
-    inner = with_statistics(row.select(F.col("_row").alias("doc_id"), F.col("_row.text").alias("text")))
-    return inner.filter(~base_failed() & verdict(rules)).select("doc_id.*")
+    return docs.filter(_let(statistics(F.col("text")), lambda s: is_kept(rules, s)))
