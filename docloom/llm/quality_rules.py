@@ -139,7 +139,7 @@ def cover(rows: list[tuple], min_precision: float = 0.95, min_rows: int = 3, max
         return []
     held = np.arange(n) % 3 == 2
     left, rules = np.ones(n, bool), []
-    while len(rules) < max_rules:
+    for _ in range(max_rules):
         grow, prune = left & ~held, left & held
         rule: Rule = ()
         inside = grow.copy()
@@ -158,10 +158,10 @@ def cover(rows: list[tuple], min_precision: float = 0.95, min_rows: int = 3, max
         inside = _all_hold(rule, values, n) & left
         p, q = int((inside & bad).sum()), int((inside & ~bad).sum())
         x = inside & held
-        if p < min_rows or p < min_precision * (p + q) or (x & bad).sum() < min_precision * max(1, x.sum()):
-            break
-        rules.append(rule)
-        left &= ~inside
+        precise = p >= min_rows and p >= min_precision * (p + q) and (x & bad).sum() >= min_precision * max(1, x.sum())
+        if precise:
+            rules.append(rule)
+        left &= ~inside  # a rule that is not precise is left out, and the rows that it misled with it
     return rules
 
 
@@ -175,9 +175,11 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
         buckets = 1 << 20
         known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(buckets)) < int(buckets * sample / n))
         docs = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast(known.schema["_id"].dataType)), F.lit(buckets)) < int(buckets * sample / n))
-    stats = docs.select(F.col("doc_id").alias("_doc"), statistics(F.col("text")).alias("s")).select("_doc", *[f"s.{f}" for f in FEATURES])
-    rows = stats.join(known, F.col("_doc") == F.col("_id")).select("_id", *FEATURES, "quality").orderBy(F.xxhash64("_id"), "_id", *FEATURES, "quality").limit(2 * sample).collect()
-    return cover([tuple(r)[1:] for r in rows])
+    stats = docs.select(F.col("doc_id").alias("_doc"), statistics(F.col("text")).alias("s"))
+    stats = stats.select("_doc", *[f"s.{f}" for f in FEATURES], base_failed(F.col("s")).alias("_failed"))
+    rows = stats.join(known, F.col("_doc") == F.col("_id")).select("_id", *FEATURES, "quality", "_failed").orderBy(F.xxhash64("_id"), "_id", *FEATURES, "quality").limit(2 * sample).collect()
+    # The list judges texts that the base rule passes, so it learns from these.
+    return cover([tuple(r)[1:-1] for r in rows if not r["_failed"]])
 
 
 def verdict(rules: list[Rule], stats: Column) -> Column:
