@@ -107,10 +107,15 @@ def table_specs(rows: DataFrame, keys: tuple[str, ...] = ("doc_id", "page", "tab
     value = lambda f: cell(F.col("cells"), F.try_element_at("m", F.lit(f)))
     item = F.coalesce(F.when(value("item_name") != NOT_FOUND, value("item_name")), F.get("full", F.lit(0)))
     spec = F.coalesce(F.when(value("specification_text") != NOT_FOUND, value("specification_text")), F.array_join(F.slice("full", 2, F.size("full")), " "))
-    derived = gated.withColumn("d", derive(strip(item), strip(spec)))
-    item, spec = F.col("d.item"), F.col("d.spec")
     on_spec_page = F.col("page") >= cfg.spec_page
-    kept = derived.filter(~is_narrative(spec) & ~is_too_short(item, spec) & F.when(on_spec_page, passes_spec_page(spec)).otherwise(passes_other_page(item, spec)))
+
+    def judge(d: Column) -> Column:
+        kept = ~is_narrative(d.spec) & ~is_too_short(d["item"], d.spec) & F.when(on_spec_page, passes_spec_page(d.spec)).otherwise(passes_other_page(d["item"], d.spec))
+        return F.struct(d["item"].alias("item"), d.spec.alias("spec"), kept.alias("kept"))
+
+    # A lambda's variable binds the derived pair, so that the filter does not repeat its expression.
+    kept = gated.withColumn("d", F.get(F.transform(F.array(derive(strip(item), strip(spec))), judge), F.lit(0))).filter("d.kept")
+    item, spec = F.col("d.item"), F.col("d.spec")
     name = F.when(on_spec_page & ((item == "") | (item == NOT_FOUND)), F.substring(spec, 1, 50)).otherwise(item)
     return kept.select(
         *keys,

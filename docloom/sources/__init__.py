@@ -1 +1 @@
-
+"""Sources and parsers."""
