@@ -11,8 +11,8 @@ set and its size, and only classes are joined.
 2. Two linked sets share a shingle of their prefixes, the first ``n - ceil(PERCENT / 100 * n) + 1``
    shingles. Prefixes are dealt by shingle. Up to ``SMALL`` classes at a shingle give their pairs; more
    give a star about the least class.
-3. Pairs pass bounds of size and of a 1,024-bit parity sketch (the sketches of two sets differ in no
-   more bits than the sets in shingles). Classes left are joined by prefix trees: the partners of a class
+3. Pairs pass bounds of size and of parity sketches, of 1,024 bits, and for large sets of as many bits as
+   they need (the sketches of two sets differ in no more bits than the sets in shingles). Classes left are joined by prefix trees: the partners of a class
    go into a tree of sets in hash order, which its set walks down once, sharing partial overlaps and
    leaving subtrees whose remaining lengths cannot reach the overlap that is needed.
 4. Links make components (stars about least neighbours, until nothing changes). Shingles with more than
@@ -73,6 +73,25 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> bytes | None:
+    """For sets that the small sketch is too narrow for: parities by two to four times as many bits as
+    shingles. The halves of a wide sketch fold into one of half the bits."""
+    if len(s) <= 32 * _SKETCH:
+        return None
+    bits = 1 << (2 * len(s) - 1).bit_length()
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_difference(a: bytes, b: bytes) -> int:
+    """Bits that differ between two wide sketches, at the width of the narrower one."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
@@ -119,30 +138,33 @@ def _counts(n: int):
 
 
 def _members(n: int, percent: int, frequent):
-    """(doc_id, text_key, text) to (doc_id, text_key, n, digest, sketch, prefix); prefix once a task's chunk."""
+    """(doc_id, text_key, text) to (doc_id, text_key, n, digest, sketch, wide, prefix); the last three once
+    for each digest that a task meets."""
 
     def run(it):
         values, rank = frequent.value
         seen: set = set()
         for b in batches(it, 2):
             sets = sets_of(b.column(2), n)
-            sizes, digests, sketches, prefixes = [], [], [], []
+            sizes, digests, sketches, wides, prefixes = [], [], [], [], []
             for s in sets:
                 d = digest(s) if len(s) else None
                 sizes.append(len(s))
                 digests.append(d)
                 if d is None or d in seen:
                     sketches.append(None)
+                    wides.append(None)
                     prefixes.append(None)
                     continue
                 if len(seen) >= 1 << 17:
                     seen.clear()
                 seen.add(d)
                 sketches.append(sketch(s))
+                wides.append(wide_sketch(s))
                 prefixes.append(prefix(s, prefix_length(len(s), percent), values, rank).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.binary())],
-                ["doc_id", "text_key", "n", "digest", "sketch", "prefix"],
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wides, pa.binary()), pa.array(prefixes, pa.binary())],
+                ["doc_id", "text_key", "n", "digest", "sketch", "wide", "prefix"],
             )
 
     return run
@@ -269,51 +291,42 @@ class PrefixTree:
             stack.extend((c, depth, overlap, passed) for c in node.children.values())
 
 
-def _links(percent: int, tree: int):
-    """(a, salt, b, set) in order, a's own set first (b null), to links (a, b)."""
+def _links(n: int, percent: int, tree: int):
+    """(a, salt, b, text) in order, a's own text first (b null), to links (a, b)."""
 
     def run(it):
         probe, group, root, held = None, None, None, 0
         out: list[tuple[int, int]] = []
 
         def flush():
-            found = [(group[0], b) for b, _ in root.join(probe, percent)] if held and probe is not None else []
-            return found
+            nonlocal root, held
+            if held and probe is not None:
+                out.extend((group[0], b) for b, _ in root.join(probe, percent))
+            root, held = PrefixTree(np.zeros(0, np.uint64)), 0
+
+        def links():
+            x, y = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
         for batch in batches(it, 3):
-            for a, salt, b, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            keys = zip(*(c.to_pylist() for c in batch.columns[:3]))
+            for (a, salt, b), s in zip(keys, sets_of(batch.column(3), n)):
                 if (a, salt) != group:
-                    if held:
-                        out += flush()
-                    group, probe, root, held = (a, salt), None, PrefixTree(np.zeros(0, np.uint64)), 0
-                s = np.frombuffer(blob, np.uint64)
+                    flush()
+                    group, probe = (a, salt), None
                 if b is None:
                     probe = s
                     continue
                 root.add(b, s)
                 held += 1
                 if held >= tree:
-                    out += flush()
-                    root, held = PrefixTree(np.zeros(0, np.uint64)), 0
+                    flush()
             if out:
-                x, y = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-                out = []
-        if held:
-            out += flush()
+                yield links()
+        flush()
         if out:
-            x, y = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _set_rows(n: int):
-    """(digest, text) to (digest, set)."""
-
-    def run(it):
-        for b in batches(it, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1), n)], pa.binary())], ["digest", "set"])
+            yield links()
 
     return run
 
@@ -326,6 +339,18 @@ def _may_link(percent: int) -> Column:
     return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (differ <= x + y - 2 * need)
 
 
+def _wide_filter(percent: int):
+    """(a, b, m, n, v, w): sizes m, n and wide sketches v, w of a pair, to the pairs that they let link."""
+
+    def run(it):
+        for batch in batches(it):
+            a, b, m, n, v, w = (c.to_pylist() for c in batch.columns)
+            keep = [x is None or y is None or sketch_difference(x, y) <= p + q - 2 * -(-percent * (p + q) // (100 + percent)) for p, q, x, y in zip(m, n, v, w)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node that links reach, for each node that has a link."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -346,38 +371,22 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-class _Join:
-    """The steps that need the documents, for one call."""
-
-    def __init__(self, docs: DataFrame, n: int, percent: int):
-        self.docs, self.n, self.percent = keyed(docs), n, percent
-        self.known: DataFrame | None = None  # (digest, set) of classes that were fetched
-
-    def sets(self, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(digest, set) of the wanted digests; each class's set is made from one of its documents."""
-        one = classes.join(wanted, "digest", "left_semi").select("digest", "doc.*").alias("w")
-        same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key"))
-        texts = self.docs.alias("d").join(one, same).select("w.digest", "d.text")
-        made = texts.mapInArrow(_set_rows(self.n), "digest bigint, set binary")
-        return made.groupBy("digest").agg(F.any_value("set").alias("set"))  # documents that repeat
+def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The linked pairs among candidate pairs (a, b) of classes. docs: doc_id, text_key, text.
 
-    def links(self, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The linked pairs of candidate pairs (a, b) of classes."""
-        pairs = cut(pairs)
-        wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-        if self.known is None:
-            self.known = cut(self.sets(classes, wanted))
-        else:
-            more = cut(wanted.join(self.known, "digest", "left_anti"))
-            if not more.isEmpty():
-                self.known = self.known.unionByName(cut(self.sets(classes, more)))
-        sets = self.known
-        salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE).alias("salts"))
-        own = salts.join(sets.withColumnRenamed("digest", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "set")
-        salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-        other = salted.join(sets.withColumnRenamed("digest", "b"), "b").select("a", "salt", "b", "set")
-        rows = own.unionByName(other).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return rows.mapInArrow(_links(self.percent, TREE), "a bigint, b bigint")
+    A document of each class sends its text to the trees that its class takes part in: texts compress
+    better than hashed sets, and each set is made where it is joined.
+    """
+    pairs = cut(pairs)
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE).cast("int").alias("salts"))
+    own = salts.select(F.col("a").alias("digest"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"))
+    other = pairs.join(salts, "a").select(F.col("b").alias("digest"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    routes = own.unionByName(other).join(classes.select("digest", "doc"), "digest")
+    wanted = routes.groupBy("doc.doc_id", "doc.text_key").agg(F.collect_list(F.struct("a", "salt", "b")).alias("routes")).alias("w")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key"))
+    sent = docs.alias("d").join(wanted, same).select(F.explode("w.routes").alias("r"), "d.text").select("r.a", "r.salt", "r.b", "text")
+    rows = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_links(n, percent, TREE), "a bigint, b bigint")
 
 
 def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -386,8 +395,7 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     is_first (whether it is its component's document of least doc_id, then text_key)."""
     spark = docs.sparkSession
     ship(spark)
-    join = _Join(docs, n, percent)
-    d = join.docs
+    d = keyed(docs)
     counted = d.select("text").mapInArrow(_counts(n), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.filter(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "shingle").limit(FREQUENT_KEPT).toArrow()
     values = top.column("shingle").to_numpy().view(np.uint64)
@@ -395,22 +403,25 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     order = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[order], rank[order]))
 
-    shape = T.StructType([d.schema["doc_id"]]).add("text_key", "long").add("n", "long").add("digest", "long").add("sketch", T.ArrayType(T.LongType())).add("prefix", "binary")
+    shape = T.StructType([d.schema["doc_id"]]).add("text_key", "long").add("n", "long").add("digest", "long").add("sketch", T.ArrayType(T.LongType())).add("wide", "binary").add("prefix", "binary")
     members = cut(d.mapInArrow(_members(n, percent, frequent), shape))
     postings = members.filter("prefix is not null").select("digest", "prefix").mapInArrow(_postings, "shingle bigint, digest bigint")
     candidates = cut(postings.repartition("shingle").sortWithinPartitions("shingle", "digest").mapInArrow(_pairs(SMALL), "shingle bigint, a bigint, b bigint, large boolean"))
 
     pairs = candidates.select("a", "b").distinct()
     named = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    first = F.min_by(F.struct("n", "sketch", F.struct("doc_id", "text_key").alias("doc")), F.struct("doc_id", "text_key"))
-    classes = cut(members.filter("prefix is not null").join(named, "digest", "left_semi").groupBy("digest").agg(first.alias("x")).select("digest", "x.n", "x.sketch", "x.doc"))
+    first = F.min_by(F.struct("n", "sketch", "wide", F.struct("doc_id", "text_key").alias("doc")), F.struct("doc_id", "text_key"))
+    classes = cut(members.filter("prefix is not null").join(named, "digest", "left_semi").groupBy("digest").agg(first.alias("x")).select("digest", "x.n", "x.sketch", "x.wide", "x.doc"))
 
     def fits(pairs: DataFrame) -> DataFrame:
         x, y = classes.alias("x"), classes.alias("y")
         both = pairs.alias("p").join(x, F.col("p.a") == F.col("x.digest")).join(y, F.col("p.b") == F.col("y.digest"))
-        return both.filter(_may_link(percent)).select("p.a", "p.b")
+        return narrowed(both.filter(_may_link(percent)).select("p.a", "p.b", F.col("x.n").alias("m"), F.col("y.n").alias("n"), F.col("x.wide").alias("v"), F.col("y.wide").alias("w")))
+
+    def narrowed(pairs: DataFrame) -> DataFrame:
+        return pairs.mapInArrow(_wide_filter(percent), "a bigint, b bigint")
 
-    links = cut(join.links(classes, fits(pairs)))
+    links = cut(linked(d, classes, fits(pairs), n, percent))
     found = cut(components(links))
 
     large = candidates.filter("large")
@@ -421,9 +432,10 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
         mixed = at.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("shingle")
         at = cut(at.join(mixed, "shingle", "left_semi"))
         same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.root") != F.col("y.root"))
-        rest = cut(at.alias("x").join(at.alias("y"), same & _may_link(percent)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct())
+        rest = at.alias("x").join(at.alias("y"), same & _may_link(percent)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+        rest = cut(fits(rest))
         if not rest.isEmpty():
-            links = cut(links.unionByName(join.links(classes, rest)))
+            links = cut(links.unionByName(linked(d, classes, rest, n, percent)))
             found = cut(components(links))
 
     whole = members.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "digest")
