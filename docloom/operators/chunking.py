@@ -15,8 +15,9 @@ PAGE = ("doc_id", "page")
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """Pages (doc_id, page, text) as lines."""
-    return pages.select(*PAGE, F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+    """Pages (doc_id, page, text[, headings, is_ocr]) as lines."""
+    more = [c for c in ("headings", "is_ocr") if c in pages.columns]
+    return pages.select(*PAGE, *more, F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
 
 
 def section_headers(rows: DataFrame) -> DataFrame:

@@ -105,8 +105,3 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
-
-
-def page_chunk_store(chunks: DataFrame, path: str) -> None:
-    """The chunk store: one folder a document, replaced document by document."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
