@@ -27,7 +27,7 @@ def test_analyse_and_ask(spark, tmp_path):
     assert {(r.component, r.specs["specification"], r.confidence) for r in rows} == {("Pump capacity", "40 litres a minute", 1.0), ("Motor voltage", "415 V three phase", 1.0)}
     assert {r.doc.rsplit("/", 1)[1]: (r.specs, r.accuracy) for r in summary.collect()} == {"a.txt": (2, 100.0), "b.txt": (0, 0.0)}
 
-    invent = lambda prompts: [json.dumps({"technical_specifications": [{"component": "Flux", "specs": {}, "source": {"exact_text": "quantum unobtanium plasma conduit with superconducting harmonizer"}}]}) for _ in prompts]
+    invent = lambda prompts: [json.dumps({"technical_specifications": [{"component": "Flux", "specs": {}, "source": {"exact_text": "zqxj zqxj zqxj zqxj zqxj"}}]}) for _ in prompts]
     assert engine.analyse(pages, invent)[0].count() == 0
 
     doc = next(r.doc_id for r in pages.collect() if r.doc_id.endswith("a.txt"))
