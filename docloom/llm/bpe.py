@@ -28,7 +28,9 @@ from docloom.llm._chunks import Memory, chunks
 from docloom.llm._words import batches
 from docloom.session import ship
 
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
+#: The split pattern of the usual byte-level vocabularies (a fixed value).
+USUAL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes from which a piece's prefixes are not shared with other pieces.
 LONG = 256
 
@@ -162,6 +164,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         self.vocabulary = Vocabulary(ranks)
         self.pieces = regex.compile(pattern).findall
+        self.usual = pattern == USUAL_PATTERN
         self.chunk_ids = Memory(self._chunk, remembered)
         self.prefixes = PrefixStore(self.vocabulary, 2 * remembered)
         self.name = {i: str(i) for i in self.vocabulary.bytes_of}
@@ -174,6 +177,12 @@ class Codec:
         return self.prefixes.ids(data) if len(data) <= LONG else Prefixes(self.vocabulary, data).ids()
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
+        if self.usual:  # letters after at most one space, and at most one mark: what the pattern gives
+            body = chunk[1:] if chunk[:1] == " " else chunk
+            if body.isalpha():
+                return tuple(self._piece(chunk))
+            if body[-1:] in (",", ".") and body[:-1].isalpha():
+                return (*self._piece(chunk[:-1]), *self._piece(chunk[-1]))
         return tuple(chain.from_iterable(map(self._piece, self.pieces(chunk))))
 
     def encode(self, text: str) -> list[int]:
