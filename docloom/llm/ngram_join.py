@@ -16,9 +16,9 @@ set and its size, and only classes are joined.
    go into a tree of sets in hash order, which its set walks down once, sharing partial overlaps and
    leaving subtrees whose remaining lengths cannot reach the overlap that is needed.
 4. Links make components (stars about least neighbours, until nothing changes). Shingles with more than
-   ``SMALL`` classes that are in two components or more then give their pairs between components, and
-   step 3 and 4 follow once more for these. So no link between components is lost, and a large group of
-   near copies costs a star, not its square.
+   ``SMALL`` classes that are in two components or more then give a star about their most connected class,
+   and those that still are, all pairs between their components; steps 3 and 4 follow for these. So no
+   link between components is lost, and a large group of near copies costs stars, not its square.
 
 Hot keys: copies are one class; a shingle's star is streamed; a class with many partners is dealt to
 trees of ``TREE`` sets by a salt; joins on documents' classes are plain joins, which Spark can split.
@@ -46,6 +46,8 @@ FREQUENT_KEPT = 1 << 17
 FREQUENT_LEAST = 8
 SMALL = 8
 TREE = 256
+#: Routes of texts to trees that are broadcast at most, of about 60 bytes each; more go by a shuffle.
+BROADCAST_ROUTES = 100_000
 _SKETCH = 16
 _CHUNK = 1 << 22
 
@@ -382,13 +384,39 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percen
     own = salts.select(F.col("a").alias("digest"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"))
     other = pairs.join(salts, "a").select(F.col("b").alias("digest"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     routes = own.unionByName(other).join(classes.select("digest", "doc"), "digest")
-    wanted = routes.groupBy("doc.doc_id", "doc.text_key").agg(F.collect_list(F.struct("a", "salt", "b")).alias("routes")).alias("w")
+    wanted = cut(routes.groupBy("doc.doc_id", "doc.text_key").agg(F.collect_list(F.struct("a", "salt", "b")).alias("routes")))
+    n_routes = wanted.agg(F.sum(F.size("routes"))).first()[0] or 0
+    wanted = (F.broadcast(wanted) if n_routes <= BROADCAST_ROUTES else wanted).alias("w")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key"))
     sent = docs.alias("d").join(wanted, same).select(F.explode("w.routes").alias("r"), "d.text").select("r.a", "r.salt", "r.b", "text")
     rows = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_links(n, percent, TREE), "a bigint, b bigint")
 
 
+def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (shingle, digest, …) with their root, of shingles whose members have several roots."""
+    at = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    several = at.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("shingle")
+    return at.join(several, "shingle", "left_semi")
+
+
+def stars(at: DataFrame) -> DataFrame:
+    """Each shingle's members against the one that has most shingles in common with others: what copies
+    were made from has more than a copy."""
+    degree = at.groupBy("digest").agg(F.count(F.lit(1)).alias("degree"))
+    centre = at.join(degree, "digest").groupBy("shingle").agg(F.max(F.struct("degree", "digest", "root")).alias("c")).select("shingle", "c.digest", "c.root")
+    x, y = at.alias("x"), centre.alias("y")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")))
+    return pairs.select(F.col("y.digest").alias("a"), F.col("x.digest").alias("b")).distinct()
+
+
+def between(at: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a shingle's members with different roots that bounds let link."""
+    x, y = at.alias("x"), at.alias("y")
+    apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.root") != F.col("y.root"))
+    return x.join(y, apart & _may_link(percent)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+
+
 def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, text_key, n_shingles, component_id (the least doc_id that links
     reach, its own included), class_id (equal for documents of equal sets, null for an empty set) and
@@ -426,17 +454,14 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
 
     large = candidates.filter("large")
     if not large.isEmpty():
-        at = large.select("shingle", F.col("b").alias("digest")).unionByName(large.select("shingle", F.col("a").alias("digest"))).distinct()
-        at = at.join(classes.select("digest", "n", "sketch"), "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left")
-        at = at.withColumn("root", F.coalesce("root", "digest"))
-        mixed = at.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("shingle")
-        at = cut(at.join(mixed, "shingle", "left_semi"))
-        same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.root") != F.col("y.root"))
-        rest = at.alias("x").join(at.alias("y"), same & _may_link(percent)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-        rest = cut(fits(rest))
-        if not rest.isEmpty():
-            links = cut(links.unionByName(linked(d, classes, rest, n, percent)))
-            found = cut(components(links))
+        members_of = large.select("shingle", F.col("b").alias("digest")).unionByName(large.select("shingle", F.col("a").alias("digest"))).distinct()
+        members_of = cut(members_of.join(classes.select("digest", "n", "sketch"), "digest"))
+        for last in (False, True):
+            at = cut(mixed(members_of, found))
+            rest = cut(fits(between(at, percent) if last else stars(at)))
+            if not rest.isEmpty():
+                links = cut(links.unionByName(linked(d, classes, rest, n, percent)))
+                found = cut(components(links))
 
     whole = members.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "digest")
     placed = whole.filter("digest is not null").join(found.withColumnRenamed("node", "digest"), "digest", "left")
