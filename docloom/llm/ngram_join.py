@@ -48,6 +48,8 @@ SMALL = 8
 TREE = 256
 #: Routes of texts to trees that are broadcast at most, of about 60 bytes each; more go by a shuffle.
 BROADCAST_ROUTES = 100_000
+#: Shingles of a class that are listed with it, so that its pairs are made once.
+LISTED = 64
 _SKETCH = 16
 _CHUNK = 1 << 22
 
@@ -411,10 +413,14 @@ def stars(at: DataFrame) -> DataFrame:
 
 
 def between(at: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a shingle's members with different roots that bounds let link."""
+    """All pairs of a shingle's members with different roots that bounds let link. Two classes of up to
+    ``LISTED`` such shingles are paired at the least one they share; others at each, and made distinct."""
+    lists = at.groupBy("digest").agg(F.collect_list("shingle").alias("all")).select("digest", F.when(F.size("all") <= LISTED, F.col("all")).alias("all"))
+    at = at.join(lists, "digest")
     x, y = at.alias("x"), at.alias("y")
     apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.root") != F.col("y.root"))
-    return x.join(y, apart & _may_link(percent)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+    once = F.coalesce(F.array_min(F.array_intersect("x.all", "y.all")) == F.col("x.shingle"), F.lit(True))
+    return x.join(y, apart & _may_link(percent) & once).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
