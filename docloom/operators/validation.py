@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docloom.config import DEFAULT, NOT_FOUND, Config
-from docloom.functions.similarity import indel_partial_ratio
+from docloom.functions.similarity import best_partial_ratio, codes_of, indel_partial_ratio, partial_ratio
 from docloom.functions.text import before, confidence_bucket, found, has_letter, strip
-from docloom.session import ship
+from docloom.session import cut, ship
 
 LEGACY = (("specification", "specification_text"), ("unit", "unit"), ("numeric_value", "numeric_value"), ("tolerance", "tolerance"), ("standard_reference", "standard_reference"), ("material", "material"))
 
@@ -78,6 +79,59 @@ def grounding(claims: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:
     return claims.join(best, [*on, "claim_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+_CHARS = 1 << 20  # of texts that are searched together
+
+
+def _best_of(quotes: list[str], texts: list[str], best: dict[str, float]) -> None:
+    """Raise each quote's best partial ratio, 0 to 100, by the texts."""
+    lengths = sorted(set(texts), key=len, reverse=True)
+    groups: dict[int, tuple] = {}
+    for q in quotes:
+        n = sum(len(t) >= len(q) for t in lengths)
+        if n and n not in groups:
+            groups[n] = codes_of(lengths[:n])
+        if n and best[q] < 100.0:
+            best[q] = best_partial_ratio(q, groups[n], best[q])
+        for t in lengths[n:]:
+            if best[q] < 100.0:
+                best[q] = max(best[q], partial_ratio(t, q))
+
+
+def grounding_in_all(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Claims (…, claim_id, quote) with score, the best partial ratio to any of the chunks (…, text); 0
+    without a quote or a chunk.
+
+    Claims are a stated, small set: the quotes that no chunk holds whole come to the driver and are
+    broadcast. Each task searches its chunks for them and gives a row for each quote, so nothing else is
+    shuffled.
+    """
+    spark = claims.sparkSession
+    ship(spark)
+    texts = chunks.select(strip(F.lower("text")).alias("_t")).filter("_t is not null")
+    asked = claims.select("quote").filter("quote is not null").distinct()
+    whole = cut(texts.join(asked, F.contains("_t", F.col("quote"))).select("quote").distinct())
+    rest = sorted(r[0] for r in asked.join(whole, "quote", "left_anti").collect())
+    shared = spark.sparkContext.broadcast(rest)
+
+    def run(it):
+        quotes = shared.value
+        best, held, n = dict.fromkeys(quotes, 0.0), [], 0
+        for b in it:
+            for t in b.column(0).to_pylist():
+                held.append(t)
+                n += len(t)
+                if n >= _CHARS:
+                    _best_of(quotes, held, best)
+                    held, n = [], 0
+        if held:
+            _best_of(quotes, held, best)
+        yield pa.RecordBatch.from_arrays([pa.array(quotes, pa.string()), pa.array([best[q] / 100.0 for q in quotes], pa.float64())], ["quote", "score"])
+
+    part = texts.mapInArrow(run, T.StructType().add("quote", "string").add("score", "double"))
+    best = whole.select("quote", F.lit(1.0).alias("score")).unionByName(part.groupBy("quote").agg(F.max("score").alias("score")))
+    return claims.join(best, "quote", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def is_accepted(score: Column, cfg: Config = DEFAULT) -> Column:
     return score >= cfg.reject - 1e-9
 
