@@ -46,7 +46,8 @@ def template_bigrams(text: str) -> list[tuple[str, str]]:
 
 
 def size_bounds(n: int, limit: float) -> tuple[float, float]:
-    return limit / (2 - limit) * n, (2 - limit) / limit * n
+    """A little wide, so that rounding leaves out no size that reaches the limit exactly."""
+    return limit / (2 - limit) * n - 1e-6, (2 - limit) / limit * n + 1e-6
 
 
 def _bigrams(unit: Column) -> Column:
