@@ -3,13 +3,14 @@
 The tree builder closes and opens tags as HTML allows them to be left out (paragraphs before blocks, list
 items, rows, cells, options, terms), ignores end tags without a start, and closes what is open at the end.
 The renderer leaves out what is not shown (scripts, styles, heads, templates, ``hidden`` elements, inline
-``display: none`` and ``visibility: hidden``, hidden inputs, comments), collapses white space outside
+``display: none`` and ``visibility: hidden``, hidden inputs, comments; of svg all but the text in ``text``
+and ``foreignObject``), shows the options of a list line by line, collapses white space outside
 ``pre`` and ``textarea``, and sets text in blocks: a blank line around paragraphs, headings, lists, tables
 and other spaced blocks, a new line around other blocks, markers and indents for list items, and table
 cells padded to their columns' widths, with `` | `` between columns.
 
 Defined results: null, empty and invisible pages give an empty text; unclosed comments, tags and raw
-text run to the end of the page; unknown tags are inline; a page that repeats gives as many rows; other
+text run to the end of the page; a quote in a tag counts only where a value starts; unknown tags are inline; a page that repeats gives as many rows; other
 columns are ignored; an empty table gives an empty table. Pages are walked without recursion, so depth is
 not limited; memory follows one page.
 """
@@ -26,17 +27,23 @@ from docloom.llm._words import batches
 from docloom.session import ship
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("script style head title template noscript iframe object svg math canvas audio video select datalist".split())
+UNSEEN = frozenset("script style head title template noscript iframe object canvas audio video datalist annotation annotation-xml".split())
+#: Within svg: what is not drawn, and what holds text.
+SVG_UNSEEN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
+SVG_TEXT = frozenset(("text", "foreignobject"))
+#: Inputs that show no value as text.
+NO_VALUE = frozenset("hidden checkbox radio file color range image password".split())
 RAW = frozenset("script style textarea title xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset".split())
-BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form li dt dd figcaption details summary center legend caption tr thead tbody tfoot option textarea".split())
+BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form li dt dd figcaption details summary center legend caption tr thead tbody tfoot option optgroup textarea".split())
 #: A start tag of the key closes an open element of these ...
 CLOSES = {
-    **{t: {"p"} for t in BLOCK - {"html", "body", "tr", "thead", "tbody", "tfoot", "option", "caption"}},
+    **{t: {"p"} for t in BLOCK - {"html", "body", "tr", "thead", "tbody", "tfoot", "option", "optgroup", "caption"}},
     "li": {"li", "p"},
     "dt": {"dt", "dd", "p"},
     "dd": {"dt", "dd", "p"},
     "option": {"option"},
+    "optgroup": {"option", "optgroup"},
     "tr": {"tr", "td", "th", "p", "caption"},
     "td": {"td", "th", "p"},
     "th": {"td", "th", "p"},
@@ -54,8 +61,11 @@ FENCES = {
     **{t: {"table"} for t in ("tr", "td", "th", "thead", "tbody", "tfoot")},
 }
 _OTHER_FENCE = frozenset(("table", "td", "th", "button", "object"))
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
+_BLANK = r"[ \t\n\r\x0c]"
+#: A quote opens a value only directly after "=" and white space; elsewhere it is a character like others.
+_VALUE = rf"{_BLANK}*+=(?:{_BLANK}*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^ \t\n\r\x0c>]*+)))?+"
+_ATTRIBUTE = re.compile(rf"([^ \t\n\r\x0c/>][^ \t\n\r\x0c/>=]*+)(?:{_VALUE})?+")
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^ \t\n\r\x0c/>]*+)((?:[ \t\n\r\x0c/]++|{re.sub(r'\((?=\[)', '(?:', _ATTRIBUTE.pattern)})*+)(?:>|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\x0c]+")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
@@ -103,12 +113,12 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and open_[-1].tag != "tr":
             start("tr", {})
 
-    def start(tag: str, attributes: dict[str, str]) -> None:
+    def start(tag: str, attributes: dict[str, str], closed: bool = False) -> None:
         close_for(tag)
         imply(tag)
         node = Node(tag, attributes)
         open_[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and not closed:
             open_.append(node)
 
     at = 0
@@ -131,8 +141,10 @@ def parse(page: str) -> Node:
                 elif tag == "br":
                     open_[-1].children.append(Node("br", {}))
             continue
-        start(tag, _attributes(m[3]))
-        if tag in RAW and tag not in VOID:
+        # "/>" closes elements of svg and math only.
+        closed = page[m.end() - 2 : m.end()] == "/>" and m[3].endswith("/") and any(n.tag in ("svg", "math") for n in open_)
+        start(tag, _attributes(m[3]), closed)
+        if tag in RAW and tag not in VOID and not closed:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
             body = page[at : end.start()]
             open_[-1].children.append(html.unescape(body) if tag in ("textarea", "title") else body)
@@ -252,17 +264,23 @@ def render(root: Node) -> str:
     tables: list[list] = []
     lists: list[list] = []  # [ordered, number]
     pre = 0
+    drawn: list[bool] = []  # for each open svg, text and foreignObject: whether its text is shown
     steps: list[tuple] = [("in", root)]
     while steps:
         what, node = steps.pop()
         out = outs[-1]
         if isinstance(node, str):
+            if drawn and not drawn[-1]:
+                continue
             (out.kept if pre else out.words)(node)
             continue
         tag = node.tag
         if what == "in":
-            if is_hidden(node):
+            if is_hidden(node) or drawn and not drawn[-1] and tag in SVG_UNSEEN:
                 continue
+            if tag == "svg" or drawn and tag in SVG_TEXT:
+                drawn.append(tag != "svg")
+                out.words(" ")
             steps.append(("out", node))
             steps.extend(("in", c) for c in reversed(node.children))
             if tag == "br":
@@ -273,7 +291,7 @@ def render(root: Node) -> str:
             elif tag == "hr":
                 out.block(["---"])
             elif tag == "input":
-                if node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
+                if node.attributes.get("type", "text").lower() not in NO_VALUE:
                     out.words(" " + node.attributes.get("value", "") + " ")
             elif tag == "table":
                 out.end_line(True)
@@ -301,7 +319,15 @@ def render(root: Node) -> str:
                     out.indent += 2
                 elif tag in ("pre", "textarea"):
                     pre += 1
+                elif tag == "optgroup":
+                    out.words(node.attributes.get("label", ""))
+                    out.end_line()
+                elif tag == "option" and not any(c if not isinstance(c, str) else c.strip() for c in node.children):
+                    out.words(node.attributes.get("label", ""))
         else:
+            if tag == "svg" or drawn and tag in SVG_TEXT:
+                drawn.pop()
+                out.words(" ")
             if tag == "table":
                 lines = _table(tables.pop())
                 out.block(lines)
