@@ -1,17 +1,17 @@
 """Benchmark decontamination: pigeonhole pieces and Myers' bit-parallel distance, over words.
 
-Words are maximal runs without ASCII white space and punctuation, A-Z lower-cased. An item of w words
-may differ from a passage by up to ``budget(w)`` word edits (insert, delete, replace). Cut into one piece
-more than that, a passage within the budget holds one piece unchanged; pieces have ``PIECE`` words at
-least, and are found by the hashes of their first words in one pass over a text's words. About each whole
-piece found, Myers' bit-parallel algorithm gives the least distance of the item to any passage there.
+Words are maximal runs without ASCII white space and punctuation, A-Z lower-cased; in scripts without
+spaces between words (``_UNSPACED``) each character is a word. An item of w words may differ from a passage
+by up to ``budget(w)`` word edits (insert, delete, replace). Cut into one piece more than that, a passage
+within the budget holds one piece unchanged; pieces are found by the hashes of their first ``PIECE`` words,
+or all if they have fewer, in one pass over a text's words. About each whole piece found, Myers' bit-parallel algorithm gives the least distance of the item to any passage there.
 
 Items are broadcast in shards of ``SHARD_BYTES`` of text at most, with one pass over the documents for a
 shard. Documents are judged row by row, without a shuffle, so hot items and copies need no care; memory
 follows one text. Long texts are searched whole.
 
-Defined results: null or empty texts and items match nothing, as do items of fewer than ``LEAST`` words;
-an item_id that repeats is as many items, of which the best match is given; matches of a document and an
+Defined results: null or empty texts and items match nothing; items of fewer than five words are found
+exactly, without edits; an item_id that repeats is as many items, of which the best match is given; matches of a document and an
 item are one row, with the least distance, then the first place; rows that repeat give as many rows;
 other columns are ignored; empty tables give an empty table.
 """
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docloom.llm._words import PUNCTUATION, SPACES, Words, batches, grams, words_of
@@ -29,15 +30,21 @@ from docloom.session import ship
 
 RATE = 0.2
 PIECE = 4
-LEAST = 5
+LEAST = 1
 SHARD_BYTES = 32 << 20
 _SEPARATORS = SPACES + PUNCTUATION
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\x{30FC}])"
 _BITS = 1 << 22
 
 
+def _words(texts: pa.Array) -> Words:
+    spaced = pc.replace_substring_regex(texts, _UNSPACED, r" \1 ")
+    return words_of(spaced, lower=True, separators=_SEPARATORS)
+
+
 def budget(w: int, rate: float = RATE) -> int:
-    """Word edits that an item of w words may have; its pieces keep PIECE words at least."""
-    return max(0, min(int(rate * w + 1e-9), w // PIECE - 1))
+    """Word edits that an item of w words may have."""
+    return max(0, min(int(rate * w + 1e-9), w - 1))
 
 
 class Pattern:
@@ -89,7 +96,7 @@ class Index:
     """Items and the hashes of their pieces' first words, by number of words."""
 
     def __init__(self, keys: list, texts: list[str], rate: float = RATE):
-        w = words_of(pa.array(texts, pa.string()), lower=True, separators=_SEPARATORS)
+        w = _words(pa.array(texts, pa.string()))
         self.items: list[Item] = []
         probes: dict[int, list[tuple[int, int, int, int]]] = {}
         for key, a, b in zip(keys, w.first[:-1], w.first[1:]):
@@ -180,7 +187,7 @@ def _find(shared):
         index = _index(shared)
         for b in batches(it, 1):
             best: dict = {}
-            for (doc, number), match in index.matches(words_of(b.column(1), True, _SEPARATORS)).items():
+            for (doc, number), match in index.matches(_words(b.column(1))).items():
                 key = (doc, index.items[number].key)
                 if key not in best or match < best[key]:
                     best[key] = match
@@ -224,7 +231,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
             for b in batches(it):
                 text = b.num_columns - 1
                 for part in batches([b], text):
-                    bad = {doc for doc, _ in index.matches(words_of(part.column(text), True, _SEPARATORS))}
+                    bad = {doc for doc, _ in index.matches(_words(part.column(text)))}
                     keep = pa.array([i not in bad for i in range(part.num_rows)], pa.bool_())
                     yield part.filter(keep)
 
