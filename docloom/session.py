@@ -61,3 +61,13 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="docloom-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``cut`` gave and that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if path.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(path.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
