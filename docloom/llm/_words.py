@@ -9,6 +9,8 @@ if it is longer than a block.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -145,3 +147,18 @@ def batches(it, text: int | None = None, most: int = 1 << 22):
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def freed(run):
+    """``run`` for mapInArrow, after which the worker gives memory that it no longer uses back to the
+    system; workers live on after a task, and each executor has several."""
+
+    def with_release(it):
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return with_release

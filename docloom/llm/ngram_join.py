@@ -6,22 +6,26 @@ set and its size, and only classes are joined.
 
 1. One global order of shingles: first those not known to be frequent, by hash, then the frequent ones,
    rarest first. Frequent shingles are counted over all documents; at most ``FREQUENT_KEPT`` of them
-   are kept (8 bytes each, which is what is broadcast). Any one order gives exact results; this one keeps
+   are kept (24 bytes each, which is what is broadcast). Any one order gives exact results; this one keeps
    shared passages and common lines out of prefixes.
 2. Two linked sets share a shingle of their prefixes, the first ``n - ceil(PERCENT / 100 * n) + 1``
    shingles. Prefixes are dealt by shingle. Up to ``SMALL`` classes at a shingle give their pairs; more
-   give a star about the least class.
+   give a star about the class that has most shingles in common with others.
 3. Pairs pass bounds of size and of parity sketches, of 1,024 bits, and for large sets of as many bits as
-   they need (the sketches of two sets differ in no more bits than the sets in shingles). Classes left are joined by prefix trees: the partners of a class
-   go into a tree of sets in hash order, which its set walks down once, sharing partial overlaps and
-   leaving subtrees whose remaining lengths cannot reach the overlap that is needed.
+   they need (the sketches of two sets differ in no more bits than the sets in shingles). Classes left fall
+   into groups about stars' centres. A group's sets, in the global order, make a prefix tree, which each set
+   of the group walks down, sharing partial overlaps and leaving subtrees whose remaining lengths cannot
+   reach the overlap that is needed, or that hold only what it is already connected with. A tree gives
+   the links that join components, no others.
 4. Links make components (stars about least neighbours, until nothing changes). Shingles with more than
-   ``SMALL`` classes that are in two components or more then give a star about their most connected class,
-   and those that still are, all pairs between their components; steps 3 and 4 follow for these. So no
-   link between components is lost, and a large group of near copies costs stars, not its square.
+   ``SMALL`` classes that are in two components or more then give for each two components their closest
+   pair by sketches, and after that all pairs between components that are still apart. Steps 3 and 4 follow
+   for these. So no link between components is lost, and a large group of near copies costs stars, not its
+   square.
 
-Hot keys: copies are one class; a shingle's star is streamed; a class with many partners is dealt to
-trees of ``TREE`` sets by a salt; joins on documents' classes are plain joins, which Spark can split.
+Hot keys: copies are one class; a frequent shingle's classes are dealt by a salt and streamed; groups over ``TREE`` sets or ``TREE_SHINGLES`` shingles are dealt
+to trees by a salt, and a set visits another tree only where it has a pair there; joins on documents'
+classes are plain joins, which Spark can split.
 
 Defined results: A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; fewer than ``N`` words are one
 shingle; null texts and texts without words have an empty set and are alone; rows that repeat are copies
@@ -36,22 +40,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from docloom.llm._words import batches, grams, words_of
+from docloom.llm._words import batches, freed, grams, words_of
 from docloom.llm.substring_dedup import keyed
-from docloom.session import cut, ship
+from docloom.session import cut, drop, ship
 
 N = 5
 PERCENT = 80
 FREQUENT_KEPT = 1 << 17
 FREQUENT_LEAST = 8
 SMALL = 8
+#: Sets and shingles of a tree, about.
 TREE = 256
+TREE_SHINGLES = 1 << 20
+#: Classes of a frequent shingle that are dealt to one task, about.
+DEALT = 1 << 12
 #: Routes of texts to trees that are broadcast at most, of about 60 bytes each; more go by a shuffle.
-BROADCAST_ROUTES = 100_000
+BROADCAST_ROUTES = 1 << 18
 #: Shingles of a class that are listed with it, so that its pairs are made once.
 LISTED = 64
 _SKETCH = 16
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sets_of(texts: pa.Array, n: int = N) -> list[np.ndarray]:
@@ -100,18 +109,50 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def prefix(s: np.ndarray, p: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first p shingles of a set in the global order. frequent: sorted; rank: place in the order."""
-    if not len(frequent):
-        return s[:p]
-    for part in (s[: 2 * p], s):
-        at = np.minimum(np.searchsorted(frequent, part), len(frequent) - 1)
-        is_frequent = frequent[at] == part
-        plain = part[~is_frequent]
-        if len(plain) >= p:
-            return plain[:p]
-    rest, order = s[is_frequent], rank[at[is_frequent]]
-    return np.concatenate([plain, rest[np.argsort(order, kind="stable")][: p - len(plain)]])
+class Order:
+    """The global order: frequent shingles with their keys, which are above all others, and the numbers of
+    parts that they are dealt in."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
+        """shingles: the frequent ones, most frequent first."""
+        by = np.argsort(shingles)
+        self.values = shingles[by]
+        self.keys = np.uint64(2**64 - 1) - by.astype(np.uint64)
+        parts = -(-counts[by] // DEALT)
+        self.hot, self.parts = self.values[parts > 1], parts[parts > 1]
+
+    def frequent(self, s: np.ndarray):
+        """Which of s are frequent, and the place in ``values`` of those."""
+        at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        return self.values[at] == s, at
+
+    def ordered(self, s: np.ndarray) -> np.ndarray:
+        """The set's keys in the global order: hashes, then the keys of frequent shingles."""
+        if not len(self.values):
+            return s
+        is_frequent, at = self.frequent(s)
+        return np.concatenate([s[~is_frequent], np.sort(self.keys[at[is_frequent]])])
+
+    def prefix(self, s: np.ndarray, p: int) -> np.ndarray:
+        """The first p shingles of a sorted set."""
+        if not len(self.values):
+            return s[:p]
+        for part in (s[: 2 * p], s):
+            is_frequent, at = self.frequent(part)
+            plain = part[~is_frequent]
+            if len(plain) >= p:
+                return plain[:p]
+        rest = s[is_frequent]
+        return np.concatenate([plain, rest[np.argsort(self.keys[at[is_frequent]])][: p - len(plain)]])
+
+    def salts(self, s: np.ndarray, digests: np.ndarray) -> np.ndarray:
+        """Which of its shingle's parts a class belongs to, from 1; 0 where the shingle is dealt whole."""
+        out = np.zeros(len(s), np.int32)
+        if len(self.hot) and len(s):
+            at = np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)
+            hit = np.flatnonzero(self.hot[at] == s)
+            out[hit] = 1 + (digests[hit].view(np.uint64) % self.parts[at[hit]].astype(np.uint64)).astype(np.int32)
+        return out
 
 
 def _counts(n: int):
@@ -141,12 +182,12 @@ def _counts(n: int):
     return run
 
 
-def _members(n: int, percent: int, frequent):
+def _members(n: int, percent: int, order):
     """(doc_id, text_key, text) to (doc_id, text_key, n, digest, sketch, wide, prefix); the last three once
     for each digest that a task meets."""
 
     def run(it):
-        values, rank = frequent.value
+        shared = order.value
         seen: set = set()
         for b in batches(it, 2):
             sets = sets_of(b.column(2), n)
@@ -165,7 +206,7 @@ def _members(n: int, percent: int, frequent):
                 seen.add(d)
                 sketches.append(sketch(s))
                 wides.append(wide_sketch(s))
-                prefixes.append(prefix(s, prefix_length(len(s), percent), values, rank).tobytes())
+                prefixes.append(shared.prefix(s, prefix_length(len(s), percent)).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wides, pa.binary()), pa.array(prefixes, pa.binary())],
                 ["doc_id", "text_key", "n", "digest", "sketch", "wide", "prefix"],
@@ -174,21 +215,26 @@ def _members(n: int, percent: int, frequent):
     return run
 
 
-def _postings(it):
-    """(digest, prefix) to (shingle, digest)."""
-    for b in batches(it, 1, 1 << 20):
-        blob = b.column(1).to_pylist()
-        sizes = np.array([len(x) // 8 for x in blob])
-        shingles = np.frombuffer(b"".join(blob), np.int64)
-        digests = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(digests)], ["shingle", "digest"])
+def _postings(order):
+    """(digest, prefix) to (shingle, salt, digest)."""
+
+    def run(it):
+        shared = order.value
+        for b in batches(it, 1, 1 << 20):
+            blob = b.column(1).to_pylist()
+            sizes = np.array([len(x) // 8 for x in blob])
+            shingles = np.frombuffer(b"".join(blob), np.uint64)
+            digests = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(shared.salts(shingles, digests)), pa.array(digests)], ["shingle", "salt", "digest"])
+
+    return run
 
 
 def _pairs(small: int):
-    """(shingle, digest) rows in order to candidate pairs (shingle, a, b, large).
+    """(shingle, salt, digest) rows in order to candidate pairs (shingle, a, b, large).
 
-    A shingle with more than ``small`` classes gives its star, which is streamed: what is held is a
-    shingle of up to ``small`` classes, or a star's first class.
+    More than ``small`` classes, and those of a part, are listed as pairs with their first class, which are
+    streamed: what is held is up to ``small`` classes, or a list's first class.
     """
 
     def run(it):
@@ -197,45 +243,55 @@ def _pairs(small: int):
         def batch(shingle, a, b, large):
             return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], names)
 
-        held_t, held_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        star = None  # the shingle and first class of a star that goes on
+        def group_of(shingle, salt):
+            return shingle.view(np.uint64) + salt.astype(np.uint64) * _ODD
+
+        none = np.zeros(0, np.int64)
+        held = (none, none.astype(np.int32), none)
+        star = None  # group, first class and last class of a star that goes on
 
-        def judged(t, d):
+        def judged(t, salt, d):
             if not len(t):
                 return
-            edges = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            g = group_of(t, salt)
+            edges = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             sizes = np.diff(np.append(edges, len(t)))
+            salted = salt[edges] > 0
             for k in range(2, small + 1):
-                at = edges[sizes == k]
+                at = edges[(sizes == k) & ~salted]
                 if len(at):
                     i, j = np.triu_indices(k, 1)
                     yield batch(np.repeat(t[at], len(i)), d[at[:, None] + i].ravel(), d[at[:, None] + j].ravel(), False)
-            for e, k in zip(edges[sizes > small], sizes[sizes > small]):
-                yield batch(t[e + 1 : e + k], np.full(k - 1, d[e]), d[e + 1 : e + k], True)
+            for e, k, own in zip(edges[(sizes > small) | salted], sizes[(sizes > small) | salted], salted[(sizes > small) | salted]):
+                e, k = (e, k) if own else (e + 1, k - 1)
+                first = d[e] if own else d[e - 1]
+                yield batch(t[e : e + k], np.full(k, first), d[e : e + k], True)
 
         for b in batches(it):
-            t = np.concatenate([held_t, b.column(0).to_numpy()])
-            d = np.concatenate([held_d, b.column(1).to_numpy()])
-            new = np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))
-            t, d = t[new], d[new]
+            t, salt, d = (np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held))
+            g = group_of(t, salt)
+            new = np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1]))
+            t, salt, d, g = t[new], salt[new], d[new], g[new]
             if star is not None:
-                k = int(np.searchsorted(t, star[0], "right"))
+                others = np.flatnonzero(g != star[0])
+                k = int(others[0]) if len(others) else len(g)
                 more = d[:k][d[:k] > star[2]]
                 if len(more):
-                    yield batch(np.full(len(more), star[0]), np.full(len(more), star[1]), more, True)
+                    yield batch(np.full(len(more), t[0]), np.full(len(more), star[1]), more, True)
                     star = (star[0], star[1], more[-1])
                 if k == len(t):
-                    held_t, held_d = t[:0], d[:0]
+                    held = (t[:0], salt[:0], d[:0])
                     continue
-                t, d, star = t[k:], d[k:], None
-            k = int(np.searchsorted(t, t[-1]))
-            yield from judged(t[:k], d[:k])
-            held_t, held_d = t[k:], d[k:]
-            if len(held_t) > small:
-                yield from judged(held_t, held_d)
-                star = (held_t[0], held_d[0], held_d[-1])
-                held_t, held_d = t[:0], d[:0]
-        yield from judged(held_t, held_d)
+                t, salt, d, g, star = t[k:], salt[k:], d[k:], g[k:], None
+            others = np.flatnonzero(g != g[-1])
+            k = int(others[-1]) + 1 if len(others) else 0
+            yield from judged(t[:k], salt[:k], d[:k])
+            held = (t[k:], salt[k:], d[k:])
+            if len(held[0]) > small:
+                yield from judged(*held)
+                star = (g[-1], held[2][0], held[2][-1])
+                held = (t[:0], salt[:0], d[:0])
+        yield from judged(*held)
 
     return run
 
@@ -274,13 +330,16 @@ class PrefixTree:
                 node.children[int(values[0])] = child = upper
             node, values = child, values[k:]
 
-    def join(self, probe: np.ndarray, percent: int):
-        """(key, overlap) of the sets that link with the sorted set ``probe``."""
+    def join(self, probe: np.ndarray, percent: int, passed_over=lambda key: False):
+        """(key, overlap) of the sets that link with the sorted set ``probe``, without those that
+        ``passed_over`` names; leaves that hold no others are not looked at."""
         m = len(probe)
         need = lambda n: -(-percent * (m + n) // (100 + percent))
         stack = [(self, 0, 0, 0)]  # node, depth, overlap, elements of probe passed
         while stack:
             node, depth, overlap, passed = stack.pop()
+            if not node.children and all(passed_over(key) for key, _ in node.ends):
+                continue
             at = np.searchsorted(probe, node.run) if len(node.run) else np.zeros(0, np.int64)
             if len(at):
                 overlap += int((probe[np.minimum(at, m - 1)] == node.run).sum())
@@ -290,57 +349,100 @@ class PrefixTree:
             if overlap + min(node.most - depth, m - passed) < need(node.least):
                 continue
             for key, n in node.ends:
-                if overlap >= need(n):
+                if overlap >= need(n) and not passed_over(key):
                     yield key, overlap
             stack.extend((c, depth, overlap, passed) for c in node.children.values())
 
 
-def _links(n: int, percent: int, tree: int):
-    """(a, salt, b, text) in order, a's own text first (b null), to links (a, b)."""
+class TreeGroup:
+    """Sets in a prefix tree, and what their links connect."""
+
+    def __init__(self, percent: int):
+        self.percent, self.tree, self.own = percent, PrefixTree(np.zeros(0, np.uint64)), {}
+        self.parent: dict[int, int] = {}
+        self.walked = False
+
+    def root(self, key: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(key, key)) != key:
+            parent[key] = parent.setdefault(up, up)
+            key = up
+        return key
+
+    def add(self, key: int, ordered: np.ndarray) -> None:
+        self.tree.add(key, ordered)
+        self.own[key] = ordered
+
+    def _connect(self, at: int | None, ordered: np.ndarray) -> int | None:
+        """Connect what the set links with, and ``at`` if it is given; a set of the tree that it is connected with."""
+        for other, _ in self.tree.join(ordered, self.percent, lambda k: at is not None and self.root(k) == self.root(at)):
+            if at is not None:
+                x, y = self.root(other), self.root(at)
+                self.parent[max(x, y)] = min(x, y)
+            at = other
+        return at
+
+    def walk_own(self) -> None:
+        if not self.walked:
+            for key, ordered in self.own.items():
+                self._connect(key, ordered)
+        self.walked = True
+
+    def visit(self, key: int, ordered: np.ndarray):
+        """The link of a set from outside to what it is connected with."""
+        self.walk_own()
+        at = self._connect(None, ordered)
+        return [] if at is None else [(key, at)]
+
+    def links(self):
+        """Links of the tree's own sets to the least set that each is connected with."""
+        self.walk_own()
+        return [(key, root) for key in self.own if (root := self.root(key)) != key]
+
+
+def _trees(n: int, percent: int, order):
+    """(hub, salt, key, guest, text), sorted, guests last in each group, to links (a, b)."""
 
     def run(it):
-        probe, group, root, held = None, None, None, 0
+        shared, at, group = order.value, None, None
         out: list[tuple[int, int]] = []
 
-        def flush():
-            nonlocal root, held
-            if held and probe is not None:
-                out.extend((group[0], b) for b, _ in root.join(probe, percent))
-            root, held = PrefixTree(np.zeros(0, np.uint64)), 0
-
         def links():
             x, y = zip(*out)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-        for batch in batches(it, 3):
-            keys = zip(*(c.to_pylist() for c in batch.columns[:3]))
-            for (a, salt, b), s in zip(keys, sets_of(batch.column(3), n)):
-                if (a, salt) != group:
-                    flush()
-                    group, probe = (a, salt), None
-                if b is None:
-                    probe = s
+        for batch in batches(it, 4):
+            keys = zip(*(c.to_pylist() for c in batch.columns[:4]))
+            for (hub, salt, key, guest), s in zip(keys, sets_of(batch.column(4), n)):
+                if (hub, salt) != at:
+                    if group is not None:
+                        out.extend(group.links())
+                    at, group = (hub, salt), TreeGroup(percent)
+                if not guest:
+                    group.add(key, shared.ordered(s))
                     continue
-                root.add(b, s)
-                held += 1
-                if held >= tree:
-                    flush()
+                out.extend(group.visit(key, shared.ordered(s)))
             if out:
                 yield links()
-        flush()
+        if group is not None:
+            out.extend(group.links())
         if out:
             yield links()
 
     return run
 
 
+def _differ() -> Column:
+    """Bits that differ between the sketches of classes x and y."""
+    return sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(1, _SKETCH)), F.bit_count(F.col("x.sketch")[0].bitwiseXOR(F.col("y.sketch")[0])))
+
+
 def _may_link(percent: int) -> Column:
     """Bounds on a pair of classes x and y from their sizes and sketches."""
     x, y = F.col("x.n"), F.col("y.n")
-    differ = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(1, _SKETCH)), F.bit_count(F.col("x.sketch")[0].bitwiseXOR(F.col("y.sketch")[0])))
     need = F.ceil((percent * (x + y)) / F.lit(100.0 + percent) - 1e-9)
-    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (differ <= x + y - 2 * need)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (_differ() <= x + y - 2 * need)
 
 
 def _wide_filter(percent: int):
@@ -357,42 +459,52 @@ def _wide_filter(percent: int):
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node that links reach, for each node that has a link."""
+
+    def are_stars(edges: DataFrame) -> bool:
+        """Whether every node has one edge and no root has one."""
+        ends = edges.select(F.explode(F.array(F.struct("u", F.lit(1).alias("out")), F.struct(F.col("v").alias("u"), F.lit(0).alias("out")))).alias("e"))
+        return ends.groupBy("e.u").agg(F.sum("e.out").alias("out"), F.min("e.out").alias("least")).filter("out > 1 or out = 1 and least = 0").isEmpty()
+
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while True:
+    while not are_stars(edges):
         # Large star: each larger neighbour goes to the least one. Small star: each smaller one too.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = cut(small)
-        # Done when every node has one edge and no root has one: the edges are the stars.
-        roots = after.select(F.col("v").alias("u")).distinct()
-        if after.groupBy("u").count().filter("count > 1").isEmpty() and after.join(roots, "u", "left_semi").isEmpty():
-            break
+        small = large.join(least, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
+        after = cut(small.filter("u <> v").distinct())
+        drop(edges)
         edges = after
-    stars = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The linked pairs among candidate pairs (a, b) of classes. docs: doc_id, text_key, text.
+def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order, n: int, percent: int) -> DataFrame:
+    """Links that make the components that the candidate pairs (a, b) of classes make by their links.
+    docs: doc_id, text_key, text; pairs: cut.
 
-    A document of each class sends its text to the trees that its class takes part in: texts compress
-    better than hashed sets, and each set is made where it is joined.
+    A class belongs to the group of its least star's centre (the first of a pair), or to its own if it is
+    no one's second. A document of each class sends its text to its group's tree, and to other trees where
+    the class has a pair: texts compress better than hashed sets, and each set is made where it is joined.
     """
-    pairs = cut(pairs)
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE).cast("int").alias("salts"))
-    own = salts.select(F.col("a").alias("digest"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"))
-    other = pairs.join(salts, "a").select(F.col("b").alias("digest"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    routes = own.unionByName(other).join(classes.select("digest", "doc"), "digest")
-    wanted = cut(routes.groupBy("doc.doc_id", "doc.text_key").agg(F.collect_list(F.struct("a", "salt", "b")).alias("routes")))
-    n_routes = wanted.agg(F.sum(F.size("routes"))).first()[0] or 0
-    wanted = (F.broadcast(wanted) if n_routes <= BROADCAST_ROUTES else wanted).alias("w")
-    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key"))
-    sent = docs.alias("d").join(wanted, same).select(F.explode("w.routes").alias("r"), "d.text").select("r.a", "r.salt", "r.b", "text")
-    rows = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_links(n, percent, TREE), "a bigint, b bigint")
+    ends = pairs.select(F.col("b").alias("node"), F.col("a").alias("hub")).unionByName(pairs.select(F.col("a").alias("node"), F.lit(None).cast("bigint").alias("hub")))
+    hubs = ends.groupBy("node").agg(F.min("hub").alias("hub")).withColumn("hub", F.coalesce("hub", "node"))
+    at = cut(hubs.join(classes.select(F.col("digest").alias("node"), "n", "doc"), "node"))
+    salts = at.groupBy("hub").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TREE, F.sum("n") / TREE_SHINGLES)).cast("int").alias("salts"))
+    placed = at.join(salts, "hub").select("node", "hub", "doc", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
+    own = placed.select("doc", "hub", "salt", F.col("node").alias("key"), F.lit(False).alias("guest"))
+    x, y = placed.alias("x"), placed.alias("y")
+    elsewhere = (F.col("x.hub") != F.col("y.hub")) | (F.col("x.salt") != F.col("y.salt"))
+    apart = pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & elsewhere)
+    guests = apart.select("x.doc", "y.hub", "y.salt", F.col("a").alias("key"), F.lit(True).alias("guest")).distinct()
+    wanted = cut(own.unionByName(guests))
+    drop(at)
+    wanted = (F.broadcast(wanted) if wanted.count() <= BROADCAST_ROUTES else wanted).alias("w")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc.doc_id")) & (F.col("d.text_key") == F.col("w.doc.text_key"))
+    rows = docs.alias("d").join(wanted, same).select("w.hub", "w.salt", "w.key", "w.guest", "d.text")
+    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "guest", "key")
+    return rows.mapInArrow(freed(_trees(n, percent, order)), "a bigint, b bigint")
 
 
 def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -402,25 +514,29 @@ def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return at.join(several, "shingle", "left_semi")
 
 
-def stars(at: DataFrame) -> DataFrame:
-    """Each shingle's members against the one that has most shingles in common with others: what copies
-    were made from has more than a copy."""
-    degree = at.groupBy("digest").agg(F.count(F.lit(1)).alias("degree"))
-    centre = at.join(degree, "digest").groupBy("shingle").agg(F.max(F.struct("degree", "digest", "root")).alias("c")).select("shingle", "c.digest", "c.root")
-    x, y = at.alias("x"), centre.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")))
-    return pairs.select(F.col("y.digest").alias("a"), F.col("x.digest").alias("b")).distinct()
+def stars(members: DataFrame) -> DataFrame:
+    """Each shingle's members (shingle, digest) against the one that has most shingles in common with
+    others: what copies were made from has more than a copy."""
+    degree = members.groupBy("digest").agg(F.count(F.lit(1)).alias("degree"))
+    centre = members.join(degree, "digest").groupBy("shingle").agg(F.max(F.struct("degree", "digest")).alias("c")).select("shingle", F.col("c.digest").alias("a"))
+    return members.join(centre, "shingle").select("a", F.col("digest").alias("b")).filter("a <> b")
 
 
-def between(at: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a shingle's members with different roots that bounds let link. Two classes of up to
-    ``LISTED`` such shingles are paired at the least one they share; others at each, and made distinct."""
+def between(at: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs of a shingle's members with different roots that bounds let link: for each two roots the closest
+    pair by sketches, or all. Two classes of up to ``LISTED`` such shingles are paired at the least one
+    they share; others at each, and made distinct."""
     lists = at.groupBy("digest").agg(F.collect_list("shingle").alias("all")).select("digest", F.when(F.size("all") <= LISTED, F.col("all")).alias("all"))
     at = at.join(lists, "digest")
     x, y = at.alias("x"), at.alias("y")
     apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.root") != F.col("y.root"))
     once = F.coalesce(F.array_min(F.array_intersect("x.all", "y.all")) == F.col("x.shingle"), F.lit(True))
-    return x.join(y, apart & _may_link(percent) & once).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+    a, b = F.col("x.digest").alias("a"), F.col("y.digest").alias("b")
+    pairs = x.join(y, apart & _may_link(percent) & once)
+    if not closest:
+        return pairs.select(a, b).distinct()
+    roots = F.least("x.root", "y.root").alias("r"), F.greatest("x.root", "y.root").alias("s")
+    return pairs.groupBy(*roots).agg(F.min(F.struct(_differ().alias("differ"), a, b)).alias("p")).select("p.a", "p.b").distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -430,19 +546,17 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     spark = docs.sparkSession
     ship(spark)
     d = keyed(docs)
-    counted = d.select("text").mapInArrow(_counts(n), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = d.select("text").mapInArrow(freed(_counts(n)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.filter(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "shingle").limit(FREQUENT_KEPT).toArrow()
     values = top.column("shingle").to_numpy().view(np.uint64)
-    rank = np.arange(len(values))[::-1]
-    order = np.argsort(values)
-    frequent = spark.sparkContext.broadcast((values[order], rank[order]))
+    order = spark.sparkContext.broadcast(Order(values, top.column("n").to_numpy()))
 
     shape = T.StructType([d.schema["doc_id"]]).add("text_key", "long").add("n", "long").add("digest", "long").add("sketch", T.ArrayType(T.LongType())).add("wide", "binary").add("prefix", "binary")
-    members = cut(d.mapInArrow(_members(n, percent, frequent), shape))
-    postings = members.filter("prefix is not null").select("digest", "prefix").mapInArrow(_postings, "shingle bigint, digest bigint")
-    candidates = cut(postings.repartition("shingle").sortWithinPartitions("shingle", "digest").mapInArrow(_pairs(SMALL), "shingle bigint, a bigint, b bigint, large boolean"))
-
-    pairs = candidates.select("a", "b").distinct()
+    members = cut(d.mapInArrow(freed(_members(n, percent, order)), shape))
+    postings = members.filter("prefix is not null").select("digest", "prefix").mapInArrow(_postings(order), "shingle bigint, salt int, digest bigint")
+    candidates = cut(postings.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "digest").mapInArrow(freed(_pairs(SMALL)), "shingle bigint, a bigint, b bigint, large boolean"))
+    large = cut(candidates.filter("large").select("shingle", F.explode(F.array("a", "b")).alias("digest")).distinct())
+    pairs = cut(candidates.filter("not large").select("a", "b").unionByName(stars(large)).distinct())
     named = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     first = F.min_by(F.struct("n", "sketch", "wide", F.struct("doc_id", "text_key").alias("doc")), F.struct("doc_id", "text_key"))
     classes = cut(members.filter("prefix is not null").join(named, "digest", "left_semi").groupBy("digest").agg(first.alias("x")).select("digest", "x.n", "x.sketch", "x.wide", "x.doc"))
@@ -455,19 +569,20 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     def narrowed(pairs: DataFrame) -> DataFrame:
         return pairs.mapInArrow(_wide_filter(percent), "a bigint, b bigint")
 
-    links = cut(linked(d, classes, fits(pairs), n, percent))
-    found = cut(components(links))
+    rest = cut(fits(pairs))
+    links = cut(linked(d, classes, rest, order, n, percent))
+    drop(pairs, rest)
+    found = components(links)
 
-    large = candidates.filter("large")
     if not large.isEmpty():
-        members_of = large.select("shingle", F.col("b").alias("digest")).unionByName(large.select("shingle", F.col("a").alias("digest"))).distinct()
-        members_of = cut(members_of.join(classes.select("digest", "n", "sketch"), "digest"))
-        for last in (False, True):
+        members_of = cut(large.join(classes.select("digest", "n", "sketch"), "digest"))
+        for closest in (True, False):
             at = cut(mixed(members_of, found))
-            rest = cut(fits(between(at, percent) if last else stars(at)))
+            rest = cut(fits(between(at, percent, closest)))
             if not rest.isEmpty():
-                links = cut(links.unionByName(linked(d, classes, rest, n, percent)))
-                found = cut(components(links))
+                links = cut(links.unionByName(linked(d, classes, rest, order, n, percent)))
+                found = components(links)
+            drop(at, rest)
 
     whole = members.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "digest")
     placed = whole.filter("digest is not null").join(found.withColumnRenamed("node", "digest"), "digest", "left")
