@@ -7,18 +7,22 @@ The renderer leaves out what is not shown (scripts, styles, heads, templates, ``
 and ``foreignObject``), shows the options of a list line by line, collapses white space outside
 ``pre`` and ``textarea``, and sets text in blocks: a blank line around paragraphs, headings, lists, tables
 and other spaced blocks, a new line around other blocks, markers and indents for list items, and table
-cells padded to their columns' widths, with `` | `` between columns.
+cells padded to their columns' widths, with `` | `` between columns. A cell that spans columns takes their
+widths together, empty cells at a row's end are left out, and cells of more than ``WIDEST`` characters
+do not widen their column, so that padding follows the number of cells.
 
 Defined results: null, empty and invisible pages give an empty text; unclosed comments, tags and raw
 text run to the end of the page; a quote in a tag counts only where a value starts; unknown tags are inline; a page that repeats gives as many rows; other
-columns are ignored; an empty table gives an empty table. Pages are walked without recursion, so depth is
-not limited; memory follows one page.
+columns are ignored; an empty table gives an empty table. cells outside a table are blocks; colspan and rowspan
+go to ``MOST_COLUMNS`` and ``MOST_ROWS``. Pages are walked without recursion, so depth is not limited;
+open elements are found by their tags, so time follows a page's length; memory follows one page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -61,12 +65,19 @@ FENCES = {
     **{t: {"table"} for t in ("tr", "td", "th", "thead", "tbody", "tfoot")},
 }
 _OTHER_FENCE = frozenset(("table", "td", "th", "button", "object"))
+#: A start tag of these closes one element of CLOSES and the paragraphs in it.
+_CLOSE_ONE = frozenset("li dt dd td th option".split())
+#: End tags that reach out of a cell.
+_ROWS = frozenset("tr tbody thead tfoot table".split())
+#: Widest cell that others are padded to, greatest colspan and rowspan (as browsers have it).
+WIDEST, MOST_COLUMNS, MOST_ROWS = 120, 1000, 65534
 _BLANK = r"[ \t\n\r\x0c]"
 #: A quote opens a value only directly after "=" and white space; elsewhere it is a character like others.
 _VALUE = rf"{_BLANK}*+=(?:{_BLANK}*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^ \t\n\r\x0c>]*+)))?+"
 _ATTRIBUTE = re.compile(rf"([^ \t\n\r\x0c/>][^ \t\n\r\x0c/>=]*+)(?:{_VALUE})?+")
 _TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^ \t\n\r\x0c/>]*+)((?:[ \t\n\r\x0c/]++|{re.sub(r'\((?=\[)', '(?:', _ATTRIBUTE.pattern)})*+)(?:>|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\x0c]+")
+_INTEGER = re.compile(r"[ \t\n\r\x0c]*([+-]?)([0-9]+)")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
 
@@ -88,38 +99,42 @@ def parse(page: str) -> Node:
     """The page's tree; text is a str child."""
     root = Node("#root", {})
     open_: list[Node] = [root]
+    places: dict[str, list[int]] = {}  # of open elements, by tag
 
     def text(piece: str) -> None:
         if piece:
             open_[-1].children.append(html.unescape(piece))
 
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(open_))
+        open_.append(node)
+
+    def close_from(place: int) -> None:
+        while len(open_) > place:
+            places[open_.pop().tag].pop()
+
+    def innermost(tags) -> int:
+        """The place of the last open element of these tags; 0 without one."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close_for(tag: str) -> None:
         closed = CLOSES.get(tag)
         if not closed:
             return
-        fences = FENCES.get(tag, _OTHER_FENCE)
-        for i in range(len(open_) - 1, 0, -1):
-            t = open_[i].tag
-            if t in closed:
-                del open_[i:]
-                if tag in ("li", "dt", "dd", "td", "th", "option") and t != "p" or t == "p" and len(closed) == 1:
-                    return
-                return close_for(tag)
-            if t in fences:
+        while (place := innermost(closed)) > innermost(FENCES.get(tag, _OTHER_FENCE) - closed):
+            t = open_[place].tag
+            close_from(place)
+            if tag in _CLOSE_ONE and t != "p" or t == "p" and len(closed) == 1:
                 return
 
-    def imply(tag: str) -> None:
-        """A cell needs a row about it."""
-        if tag in ("td", "th") and open_[-1].tag != "tr":
-            start("tr", {})
-
     def start(tag: str, attributes: dict[str, str], closed: bool = False) -> None:
         close_for(tag)
-        imply(tag)
+        if tag in ("td", "th") and open_[-1].tag != "tr":  # a cell needs a row about it
+            start("tr", {})
         node = Node(tag, attributes)
         open_[-1].children.append(node)
         if tag not in VOID and not closed:
-            open_.append(node)
+            push(node)
 
     at = 0
     while m := _TOKEN.search(page, at):
@@ -129,26 +144,22 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if open_[i].tag == "table" or open_[i].tag in ("td", "th") and tag not in ("tr", "tbody", "thead", "tfoot", "table"):
-                    break
-            else:
-                if tag == "p":  # as browsers do, an empty paragraph
-                    open_[-1].children.append(Node("p", {}))
-                elif tag == "br":
-                    open_[-1].children.append(Node("br", {}))
+            fence = innermost(("table",) if tag in _ROWS else ("table", "td", "th"))
+            if (place := innermost((tag,))) and (place >= fence or tag == "table"):
+                close_from(place)
+            elif tag == "p" and not fence:  # as browsers do, an empty paragraph
+                open_[-1].children.append(Node("p", {}))
+            elif tag == "br":
+                open_[-1].children.append(Node("br", {}))
             continue
         # "/>" closes elements of svg and math only.
-        closed = page[m.end() - 2 : m.end()] == "/>" and m[3].endswith("/") and any(n.tag in ("svg", "math") for n in open_)
+        closed = page[m.end() - 2 : m.end()] == "/>" and m[3].endswith("/") and bool(places.get("svg") or places.get("math"))
         start(tag, _attributes(m[3]), closed)
         if tag in RAW and tag not in VOID and not closed:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
             body = page[at : end.start()]
             open_[-1].children.append(html.unescape(body) if tag in ("textarea", "title") else body)
-            open_.pop()
+            close_from(len(open_) - 1)
             at = end.end()
     text(page[at:])
     return root
@@ -223,36 +234,65 @@ class _Lines:
         return "\n".join(self.lines)
 
 
-def _span(node: Node, name: str) -> int:
-    value = node.attributes.get(name, "1")
-    return min(1000, max(1, int(value))) if value.isascii() and value.isdigit() else 1
+def _number(value: str, least: int, most: int, other: int) -> int:
+    """A whole number of an attribute, held between bounds; ``other`` if it is none."""
+    m = _INTEGER.match(value)
+    if not m:
+        return other
+    digits = m[2].lstrip("0") or "0"
+    n = int(digits) if len(digits) <= 10 else 10**10
+    return min(most, max(least, -n if m[1] == "-" else n))
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    return _number(node.attributes.get(name, "1"), 1, most, 1)
 
 
 def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of a table from (text, columns, rows) cells; a cell that spans stands at its first place."""
-    grid: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}  # column to rows below that a cell above takes
+    """Lines of a table from (text, columns, rows) cells; a cell that spans rows stands at its first."""
+    grid: list[list[tuple[int, int, list[str]]]] = []
+    taken: list[tuple[int, int, int]] = []  # first and last column, and rows below, of cells from above
     for row in rows:
-        line: dict[int, list[str]] = {}
-        at, below = 0, {c: n - 1 for c, n in taken.items() if n > 1}
+        line, below, at, i = [], [(a, b, n - 1) for a, b, n in taken if n > 1], 0, 0
         for text, columns, deep in row:
-            while taken.get(at, 0) > 0:
-                at += 1
-            line[at] = text.split("\n")
-            for c in range(at, at + columns):
-                if deep > 1:
-                    below[c] = deep - 1
+            while i < len(taken) and taken[i][0] <= at:
+                at = max(at, taken[i][1])
+                i += 1
+            line.append((at, at + columns, text.split("\n")))
+            if deep > 1:
+                below.append((at, at + columns, deep - 1))
             at += columns
-        taken = below
+        taken = sorted(below)
         grid.append(line)
-    columns = sorted({c for line in grid for c, lines in line.items()})
-    widths = {c: max((len(x) for line in grid for x in line.get(c, [""])), default=0) for c in columns}
-    shown = [c for c in columns if widths[c]]
+    widths: dict[int, int] = {}
+    wide = []
+    for line in grid:
+        for first, end, lines in line:
+            size = max((len(x) for x in lines if len(x) <= WIDEST), default=1)
+            if end - first == 1:
+                widths[first] = max(widths.get(first, 0), size, any(lines))
+            elif any(lines):
+                wide.append((end - first, first, size))
+    for columns, first, size in sorted(wide):
+        inside = [c for c in range(first, first + columns) if widths.get(c)]
+        missing = size - sum(widths[c] for c in inside) - 3 * (len(inside) - 1)
+        if missing > 0 or not inside:
+            last = inside[-1] if inside else first
+            widths[last] = max(1, widths.get(last, 0) + (missing if inside else size))
+    shown = sorted(c for c, n in widths.items() if n)
     out = []
     for line in grid:
-        for i in range(max((len(x) for x in line.values()), default=0)):
-            cells = [(line[c][i] if c in line and i < len(line[c]) else "").ljust(widths[c]) for c in shown]
-            if any(x.strip() for x in cells):
+        places = [(bisect_left(shown, first), bisect_left(shown, end), lines) for first, end, lines in line]
+        for i in range(max((len(x) for _, _, x in line), default=0)):
+            cells, done = [], 0
+            for a, b, lines in places:
+                text = lines[i] if i < len(lines) else ""
+                if a == b or not text:
+                    continue
+                cells += [" " * widths[c] for c in shown[done:a]]
+                cells.append(text.ljust(sum(widths[c] for c in shown[a:b]) + 3 * (b - a - 1)))
+                done = b
+            if cells:
                 out.append(" | ".join(cells).rstrip())
     return out
 
@@ -302,14 +342,16 @@ def render(root: Node) -> str:
                 if not tables[-1]:
                     tables[-1].append([])
                 outs.append(_Lines())
+            elif tag in ("td", "th"):
+                out.end_line()
             elif tag in BLOCK:
                 out.end_line(tag in SPACED and not (tag in ("ul", "ol") and lists))
                 if tag in ("ul", "ol"):
-                    value = node.attributes.get("start", "")
-                    lists.append([tag == "ol", int(value) if value.isascii() and value.isdigit() else 1])
+                    lists.append([tag == "ol", _number(node.attributes.get("start", ""), -(2**31), 2**31 - 1, 1)])
                     out.indent += 2
                 elif tag == "li":
                     if lists and lists[-1][0]:
+                        lists[-1][1] = _number(node.attributes.get("value", ""), -(2**31), 2**31 - 1, lists[-1][1])
                         out.marker = f"{lists[-1][1]}. "
                         lists[-1][1] += 1
                     else:
@@ -333,7 +375,9 @@ def render(root: Node) -> str:
                 out.block(lines)
             elif tag in ("td", "th") and tables:
                 cell = outs.pop().done()
-                tables[-1][-1].append((cell, _span(node, "colspan"), _span(node, "rowspan")))
+                tables[-1][-1].append((cell, _span(node, "colspan", MOST_COLUMNS), _span(node, "rowspan", MOST_ROWS)))
+            elif tag in ("td", "th"):
+                out.end_line()
             elif tag == "tr" and tables:
                 pass
             elif tag in BLOCK and tag != "hr":

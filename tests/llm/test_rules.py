@@ -124,13 +124,12 @@ PAGE = """<!DOCTYPE html><title>T</title><body><h1>Head  line</h1><p>One <b>bold
 def test_html():
     assert H.html_to_text(PAGE) == (
         "Head line\n\nOne bold, two\n\nThree\n\n- a\n- b\n 3. x\n 4. y\n- c\n\nName | Qty\nPear | 10\nwide\n\n\n keep   this\n\n© x & y end fin"
-    ).replace("wide\n\n\n", "wide |\n\n\n")
+    )
 
 
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>a<p>b", "a\n\nb"), ("a<br>b<br/>c", "a\nb\nc"), ("<!-- x", ""), ("x <style>p{", "x"), ("</p></div>a", "a"), ("<td>a<td>b", "a\nb"), ("a < b &lt; c", "a < b < c"), ("<div>" * 5000 + "deep", "deep"), ('<a href="x>y">t</a>', "t")])
 def test_html_edges(page, text):
-    got = H.html_to_text(page)
-    assert got.replace(" ", "").split("\n") == text.replace(" ", "").split("\n") or page == "<td>a<td>b"
+    assert H.html_to_text(page) == text
 
 
 def test_html_query(spark):
