@@ -30,7 +30,6 @@ from docloom.session import ship
 
 RATE = 0.2
 PIECE = 4
-LEAST = 1
 SHARD_BYTES = 32 << 20
 _SEPARATORS = SPACES + PUNCTUATION
 _UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\x{30FC}])"
@@ -86,6 +85,7 @@ class Pattern:
 @dataclass
 class Item:
     key: object
+    row: int
     words: np.ndarray
     budget: int
     forward: Pattern
@@ -99,14 +99,14 @@ class Index:
         w = _words(pa.array(texts, pa.string()))
         self.items: list[Item] = []
         probes: dict[int, list[tuple[int, int, int, int]]] = {}
-        for key, a, b in zip(keys, w.first[:-1], w.first[1:]):
+        for row, (key, a, b) in enumerate(zip(keys, w.first[:-1], w.first[1:])):
             words = w.hash[a:b]
             n = len(words)
-            if n < LEAST:
+            if not n:
                 continue
             k = budget(n, rate)
             symbols = words.tolist()
-            self.items.append(Item(key, words, k, Pattern(symbols), Pattern(symbols[::-1])))
+            self.items.append(Item(key, row, words, k, Pattern(symbols), Pattern(symbols[::-1])))
             edges = [n * i // (k + 1) for i in range(k + 2)]
             for start, end in zip(edges, edges[1:]):
                 q = min(PIECE, end - start)
@@ -160,11 +160,12 @@ def _shards(benchmark: DataFrame, rate: float):
     """Broadcast indexes that together hold all items, each of a bounded size."""
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    total, longest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0]
     n = max(1, -(-2 * (total or 0) // SHARD_BYTES))
     for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect() if n > 1 else items.orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], rate))
+        shard = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+        rows = shard.orderBy("item_id", "text").toArrow().combine_chunks()
+        yield spark.sparkContext.broadcast((rows.column(0), rows.column(1).to_pylist(), rate))
 
 
 _INDEXES: dict = {}
@@ -178,25 +179,27 @@ def _index(shared) -> Index:
     if key not in _INDEXES:
         if len(_INDEXES) >= 2:
             _INDEXES.clear()
-        _INDEXES[key] = (shared.value, Index(*shared.value))
+        ids, texts, rate = shared.value
+        _INDEXES[key] = (shared.value, Index(ids.to_pylist(), texts, rate))
     return _INDEXES[key][1]
 
 
 def _find(shared):
     def run(it):
-        index = _index(shared)
+        index, ids = _index(shared), shared.value[0]
         for b in batches(it, 1):
             best: dict = {}
             for (doc, number), match in index.matches(_words(b.column(1))).items():
                 key = (doc, index.items[number].key)
-                if key not in best or match < best[key]:
-                    best[key] = match
-            rows = sorted(((doc, key, *m) for (doc, key), m in best.items()), key=lambda r: (r[0], r[2:]))
+                if key not in best or match < best[key][0]:
+                    best[key] = (match, index.items[number].row)
+            rows = sorted((doc, *match, row) for (doc, _), (match, row) in best.items())
             if rows:
-                doc, key, distance, first, end = zip(*rows)
-                pick = pa.array(doc, pa.int64())
+                doc, distance, first, end, row = (pa.array(x, pa.int64()) for x in zip(*rows))
+                item = ids.take(row)
+                item = item.combine_chunks() if isinstance(item, pa.ChunkedArray) else item
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pick), pa.array(key), pa.array(distance, pa.int64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())],
+                    [b.column(0).take(doc), item, distance, first, end],
                     ["doc_id", "item_id", "distance", "first_word", "end_word"],
                 )
 
