@@ -4,12 +4,14 @@ Statistics, rules and verdicts are DataFrame expressions without a shuffle: each
 whatever its size or how often it repeats. Rules come from labelled documents by sequential covering: a
 rule for low quality grows by the threshold condition of most information gain, is pruned on rows held
 back from growing, and is kept if it is precise there; the rows that it covers are then set aside for
-the next rule. Learning takes at most about ``SAMPLE`` labelled rows, those whose hashed doc_id is least;
-only their statistics (a few numbers a row) come to the driver.
+the next rule. Learning takes about ``SAMPLE`` labels at most, those whose hashed doc_id is least, which
+are broadcast, and twice as many rows of ``documents`` that they name (by a hash of the text, if ids repeat);
+only the statistics of these are computed and come to the driver (a few numbers a row).
 
 Defined results: a null or empty text has no words, all statistics 0, and fails the base rule; labels
 that are null or of unknown documents are not learned from, and without labels of both kinds there are
-no learned rules; where labels of a document disagree, each counts; other columns are ignored; an empty
+no learned rules; where labels of a document disagree, each counts; labels and labelled rows that repeat
+count once; other columns are ignored; an empty
 table gives an empty table; rows that repeat give as many rows.
 """
 
@@ -167,17 +169,21 @@ def cover(rows: list[tuple], min_precision: float = 0.95, min_rows: int = 3, max
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """An ordered decision list for quality 0 from the labelled documents' statistics."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).filter("_id is not null and quality in (0, 1)")
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).filter("_id is not null and quality in (0, 1)").distinct()
     n = known.count()
     if not n:
         return []
+    buckets = 1 << 20
     if n > sample:  # rows with the least hashes, about ``sample`` of them
-        buckets = 1 << 20
         known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(buckets)) < int(buckets * sample / n))
-        docs = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast(known.schema["_id"].dataType)), F.lit(buckets)) < int(buckets * sample / n))
-    stats = docs.select(F.col("doc_id").alias("_doc"), statistics(F.col("text")).alias("s"))
-    stats = stats.select("_doc", *[f"s.{f}" for f in FEATURES], base_failed(F.col("s")).alias("_failed"))
-    rows = stats.join(known, F.col("_doc") == F.col("_id")).select("_id", *FEATURES, "quality", "_failed").orderBy(F.xxhash64("_id"), "_id", *FEATURES, "quality").limit(2 * sample).collect()
+    same = F.col("_doc") == F.col("_id")
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(known), same)
+    m = docs.select(F.col("doc_id").alias("_doc")).join(F.broadcast(known.select("_id")), same).count()
+    if m > 2 * sample:  # ids that repeat with many texts
+        rows = rows.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(buckets)) < int(buckets * 2 * sample / m))
+    rows = rows.select("_id", "quality", statistics(F.col("_text")).alias("s"))
+    rows = rows.select("_id", *[f"s.{f}" for f in FEATURES], "quality", base_failed(F.col("s")).alias("_failed")).distinct()
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", *FEATURES, "quality").collect()
     # The list judges texts that the base rule passes, so it learns from these.
     return cover([tuple(r)[1:-1] for r in rows if not r["_failed"]])
 
