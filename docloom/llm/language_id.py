@@ -14,7 +14,8 @@ prototypes come to the driver and are broadcast (one vector a language). doc_id,
 part in a prediction.
 
 Defined results: a null text or one without a letter gives ``und`` and 0; without prototypes all do;
-ties go to the least language; a null doc_id is not held out and not learned from; rows that repeat give
+cosines that are equal to nine places are ties,
+which go to the least language; a null doc_id is not held out and not learned from; rows that repeat give
 as many rows; other columns are ignored; an empty table gives an empty table. Whole texts are used.
 """
 
@@ -34,6 +35,8 @@ OTHERS = 37
 SAMPLE = 50_000
 _M = 64  # blank, 26 letters, OTHERS
 _SCALE = 1 << 20
+#: Decimal places to which cosines are compared.
+_PLACES = 9
 UNKNOWN = "und"
 
 
@@ -126,7 +129,7 @@ def language_id(docs: DataFrame, learn_from: DataFrame | None = None, dimensions
                     scores.append(0.0)
                     continue
                 cosines = table @ v / size if size else np.zeros(len(names))
-                best = int(np.argmax(cosines))
+                best = int(np.argmax(np.round(cosines, _PLACES)))
                 preds.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
