@@ -43,18 +43,18 @@ def split_words(x: str) -> str:
 
 
 CHILDREN = f"""
-doc_words AS (SELECT doc_id, text, {split_words('text')} AS w FROM source),
-children AS (
+doc_words AS MATERIALIZED (SELECT doc_id, text, {split_words('text')} AS w FROM source),
+children AS MATERIALIZED (
   SELECT doc_id, cast(i AS INT) AS child_no,
     CASE WHEN len(w) <= 200 THEN text ELSE array_to_string(list_slice(w, i * 150 + 1, i * 150 + 200), ' ') END AS text
   FROM (SELECT doc_id, text, w, unnest(range(0, cast(greatest(0, ceil((len(w) - 200) / 150.0)) AS BIGINT) + 1)) AS i FROM doc_words)),
-tokens AS (SELECT doc_id, child_no, {split_words('lower(text)')} AS w FROM children),
-post AS (
+tokens AS MATERIALIZED (SELECT doc_id, child_no, {split_words('lower(text)')} AS w FROM children),
+post AS MATERIALIZED (
   SELECT doc_id, child_no, dl, term, count(*) AS tf
   FROM (SELECT doc_id, child_no, len(w) AS dl, unnest(w) AS term FROM tokens) GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tokens),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, stats GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, stats GROUP BY term),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 
 def scored(source: str = "documents", queries: str = _values(QUESTIONS)) -> str:
@@ -63,8 +63,8 @@ def scored(source: str = "documents", queries: str = _values(QUESTIONS)) -> str:
     return f"""
 WITH source AS (SELECT * FROM {source}), questions(query_id, query, vec_id) AS (VALUES {queries}), {CHILDREN},
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({split_words('lower(query)')}) AS term FROM questions) GROUP BY ALL),
-scores AS (
-  SELECT query_id, doc_id, child_no, sum(times * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * dl / avgdl)))) AS score
+scores AS MATERIALIZED (
+  SELECT query_id, doc_id, child_no, round(sum(times * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * dl / avgdl)))), 9) AS score
   FROM post JOIN asked USING (term) JOIN idf USING (term), stats GROUP BY ALL),
 ranges AS (
   SELECT q.query_id,
@@ -72,7 +72,7 @@ ranges AS (
     CASE WHEN hits IS NULL THEN 0.0 WHEN hits < n THEN greatest(b, 0.0) ELSE b END AS high
   FROM questions q LEFT JOIN (SELECT query_id, min(score) AS a, max(score) AS b, count(*) AS hits FROM scores GROUP BY 1) s USING (query_id), stats),
 cosines AS (
-  SELECT query_id, e.vec_id AS doc_id, 0 AS child_no, list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS cos
+  SELECT query_id, e.vec_id AS doc_id, 0 AS child_no, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS cos
   FROM questions q JOIN embeddings v USING (vec_id), (SELECT * FROM embeddings{where}) e),
 dense AS (SELECT * FROM cosines QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id, child_no) <= {LIMIT}),
 every AS (
@@ -85,7 +85,7 @@ parts AS (
     CASE WHEN high - low < 1e-9 THEN 0.0 ELSE (coalesce(s.score, 0.0) - low) / (high - low) END AS bm25_score,
     coalesce(d.cos, 0.0) AS embedding_score
   FROM candidates c LEFT JOIN scores s USING (query_id, doc_id, child_no) LEFT JOIN dense d USING (query_id, doc_id, child_no) JOIN ranges USING (query_id)),
-fused AS (SELECT *, 0.35::DOUBLE * bm25_score + 0.65::DOUBLE * embedding_score AS score FROM parts),
+fused AS (SELECT *, round(0.35::DOUBLE * bm25_score + 0.65::DOUBLE * embedding_score, 9) AS score FROM parts),
 one AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, child_no) = 1),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM one)
 """
@@ -134,9 +134,16 @@ def minmax_norm(spark, sf):
     return rounded(joined.select("query_id", "doc_id", "child_no", R.normalised(F.col("score"), F.col("low"), F.col("high")).alias("norm")))
 
 
-@query(scored() + "SELECT query_id, doc_id, child_no, round(cos, 6) AS cos FROM dense")
+@query(
+    f"""SELECT query_id, doc_id, 0 AS child_no, round(cos, 6) AS cos
+FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS cos
+  FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, embeddings e)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) <= {LIMIT}"""
+)
 def vector_topk(spark, sf):
-    return rounded(R.vector_topk(vectors(spark, sf), questions(spark, sf), LIMIT))
+    """Queries are the vectors whose id is divisible by 100, against all."""
+    asked = table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(R.vector_topk(vectors(spark, sf), asked, LIMIT))
 
 
 def _candidates(spark, sf):
@@ -193,19 +200,18 @@ def _rerank_sql(kind: str) -> str:
     else:
         terms, pattern, types, a, b, c = SCOPE_SECTION_TERMS, SCOPE_TEXT_PATTERN, "'paragraph', 'list'", 1.10, 1.20, 1.10
     return (
-        scored(EN)
+        scored()
         + f""", described AS (SELECT h.*, {_TYPES} AS chunk_type, {_SECTIONS} AS section, d.text FROM hits h JOIN documents d USING (doc_id) WHERE rank <= {2 * K}),
 boosted AS (
-  SELECT query_id, doc_id, score * (CASE WHEN chunk_type IN ({types}) THEN {a}::DOUBLE ELSE 1.0 END) * (CASE WHEN {contains(terms)} THEN {b}::DOUBLE ELSE 1.0 END)
-    * (CASE WHEN regexp_matches(text, '(?i){pattern}') THEN {c}::DOUBLE ELSE 1.0 END) AS score FROM described)
+  SELECT query_id, doc_id, round(score * (CASE WHEN chunk_type IN ({types}) THEN {a}::DOUBLE ELSE 1.0 END) * (CASE WHEN {contains(terms)} THEN {b}::DOUBLE ELSE 1.0 END)
+    * (CASE WHEN regexp_matches(text, '(?i){pattern}') THEN {c}::DOUBLE ELSE 1.0 END), 9) AS score FROM described)
 SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM boosted
 QUALIFY rank <= {K}"""
     ).replace(f"<= {LIMIT})", f"<= {2 * LIMIT})")
 
 
 def _reranked(spark, sf, boost):
-    c = R.child_spans(table(spark, sf, "documents").filter("lang = 'en'"))
-    hits = R.hybrid_retrieve(c, vectors(spark, sf), questions(spark, sf), 2 * K, only=F.col("doc_id").isNotNull())
+    hits = R.hybrid_retrieve(children(spark, sf), vectors(spark, sf), questions(spark, sf), 2 * K)
     return rounded(R.rerank(_described(spark, sf, hits), boost, K).select("query_id", "doc_id", "score", "rank"))
 
 
@@ -229,11 +235,11 @@ def qa_retrieve(spark, sf):
     + " OR ".join(f"contains(lower(text), '{t}')" for t in SPEC_SECTION_TERMS)
     + " AS spec_term, "
     + " OR ".join(f"contains(lower(text), '{t}')" for t in SCOPE_SECTION_TERMS)
-    + f" AS scope_term, regexp_matches(text, '(?i){SPEC_TEXT_PATTERN}') AS spec_text, regexp_matches(text, '(?i){SCOPE_TEXT_PATTERN}') AS scope_text FROM documents WHERE lang = 'en'"
+    + f" AS scope_term, regexp_matches(text, '(?i){SPEC_TEXT_PATTERN}') AS spec_text, regexp_matches(text, '(?i){SCOPE_TEXT_PATTERN}') AS scope_text FROM documents"
 )
 def term_flags(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").filter("lang = 'en'").select(
+    return table(spark, sf, "documents").select(
         "doc_id",
         any_contained(t, SPEC_SECTION_TERMS).alias("spec_term"),
         any_contained(t, SCOPE_SECTION_TERMS).alias("scope_term"),
@@ -294,7 +300,7 @@ def multi_query_merge(spark, sf):
     return _merged(spark, sf, 15, 15)
 
 
-@query(_merged_sql(8, 8).split(", firsts AS (")[0] + f""", fusions AS (SELECT query_id // 10 AS query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM hits WHERE rank <= 8 GROUP BY ALL)
+@query(_merged_sql(8, 8).split(", firsts AS (")[0] + f""", fusions AS (SELECT query_id // 10 AS query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM hits WHERE rank <= 8 GROUP BY ALL)
 SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fusions QUALIFY rank <= 8""")
 def rank_fusion(spark, sf):
     hits = R.hybrid_retrieve(children(spark, sf), vectors(spark, sf), _variants(spark, sf), 8)
