@@ -18,6 +18,7 @@ HEADER_PATTERNS = (
 )
 #: Words that let a table on an early page pass (fixed values).
 TABLE_KEYWORDS = ("specification", "technical", "parameter", "requirement", "material", "grade", "tolerance", "standard")
+#: Patterns, term lists and synonyms by which text is read (fixed values).
 SECTION_PATTERN = r"^(\d+(?:\.\d+)*\.?)\s+(.+)$"
 BULLET_PATTERN = r"^\s*[-•*]\s"
 SPEC_SECTION_TERMS = ("specification", "technical", "parameter", "requirement", "compliance", "material", "performance")
@@ -47,6 +48,8 @@ SCOPE_QUERIES = (
     "items excluded from scope boundary limits",
     "technical requirements and contractor obligations",
 )
+#: What the default embedding model wants before a question (a fixed value).
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 FILE_SUFFIXES = (".pdf", ".docx", ".jpg", ".jpeg", ".png")
 
 

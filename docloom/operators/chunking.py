@@ -153,7 +153,12 @@ def chunk_id(*parts: str) -> Column:
 
 def page_chunks(rows: DataFrame, hints: Column | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """Paragraphs packed to chunks, in the shape of ``table_chunks``."""
-    p = paragraphs(rows, hints).select("*", F.posexplode(pack(F.col("text"), cfg.max_tokens, cfg.overlap_tokens)).alias("part", "chunk"))
+    scanned = F.first("is_ocr").alias("is_ocr") if "is_ocr" in rows.columns else None
+    p = paragraphs(rows, hints)
+    if scanned is not None:  # a paragraph of a page that was read by OCR is told from others
+        p = p.join(rows.groupBy(*PAGE).agg(scanned), [*PAGE])
+        p = p.withColumn("chunk_type", F.when((F.col("chunk_type") == "paragraph") & F.col("is_ocr"), "image_ocr").otherwise(F.col("chunk_type"))).drop("is_ocr")
+    p = p.select("*", F.posexplode(pack(F.col("text"), cfg.max_tokens, cfg.overlap_tokens)).alias("part", "chunk"))
     p = p.select(*PAGE, "para", "part", F.col("chunk").alias("text"), "section", "parent_section", "chunk_type")
     named = F.concat(F.lit("chunk_"), F.col("page").cast("string"), F.lit("_"), chunk_id("doc_id", "page", "para", "part", "text"))
     return p.select(*PAGE, named.alias("chunk_id"), "text", "section", "parent_section", "chunk_type", F.lit(None).cast("string").alias("table_id"))

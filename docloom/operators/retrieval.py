@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docloom.config import DEFAULT, SCOPE_SECTION_TERMS, SCOPE_TEXT_PATTERN, SPEC_SECTION_TERMS, SPEC_TEXT_PATTERN, Config
 from docloom.functions.text import any_contained, raw_words, words
+from docloom.session import cut
 
 CHILD = ("doc_id", "child_no")
 
@@ -140,6 +141,14 @@ def best_parents(fused: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def scored_children(children: DataFrame, questions: DataFrame, cfg: Config = DEFAULT, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The scores of ``bm25`` and the ``corpus_stats``. Both are small beside the texts and are read several times
+    by what follows, so they are made once: texts are not split into words again for ranges and candidates."""
+    stats = cut(corpus_stats(children, by))
+    post = postings(children, by)
+    return cut(bm25(post, stats, term_idf(post, stats, cfg, by), questions, cfg, by)), stats
+
+
 def hybrid_retrieve(
     children: DataFrame, vectors: DataFrame | None, questions: DataFrame, k: int = 10, only: Column | None = None, cfg: Config = DEFAULT, by: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -152,8 +161,7 @@ def hybrid_retrieve(
     if only is not None:
         children = children.filter(only)
         vectors = vectors.join(children.select(*CHILD), list(CHILD), "left_semi") if vectors is not None else None
-    post, stats = postings(children, by), corpus_stats(children, by)
-    scores = bm25(post, stats, term_idf(post, stats, cfg, by), questions, cfg, by)
+    scores, stats = scored_children(children, questions, cfg, by)
     limit = cfg.candidates * k
     sparse = top_scores(scores, children, questions, limit, by)
     if vectors is None:

@@ -66,6 +66,28 @@ def normalise_scope(scopes: DataFrame) -> DataFrame:
     )
 
 
+LEGACY_FIELDS = ("specification_text", "unit", "numeric_value", "tolerance", "standard_reference", "material")
+
+
+def display_specs(specs: DataFrame, key: str, order: str) -> DataFrame:
+    """Specifications of the current or the older shape as they are shown: key, place (from 1), component
+    (else item_name, else ``Spec`` and its place), specs, confidence from 0 to 1, and the source with its defaults."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy(key).orderBy(order))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    legacy = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, LEGACY_FIELDS)), F.array(*LEGACY_FIELDS)), lambda k, v: F.coalesce(~v.isin("", NOT_FOUND), F.lit(False)))
+    return specs.withColumn("place", place).select(
+        key,
+        "place",
+        F.coalesce(some("component"), some("item_name"), F.concat(F.lit("Spec "), F.col("place").cast("string"))).alias("component"),
+        F.coalesce("specs", legacy).alias("specs"),
+        confidence_number(F.col("confidence")).alias("confidence"),
+        *[F.coalesce(some(c), F.lit(NOT_FOUND)).alias(c) for c in ("chunk_id", "clause", "exact_text")],
+        F.coalesce("page", F.lit(0)).alias("page"),
+    )
+
+
 def add_tags(tags: Column, new: Column) -> Column:
     """The list with the trimmed tag, if it is not empty and not there."""
     t = F.trim(new)

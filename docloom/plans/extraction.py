@@ -44,7 +44,10 @@ def context_build(spark, sf):
 
 @query()
 def neardup_pairs(spark, sf):
-    return X.near_copy_pairs(_turns(spark, sf), "conv_id", "turn").withColumn("ratio", F.round("ratio", 4))
+    """Turns beside copies of them with a word more, so that each conversation has pairs."""
+    t = _turns(spark, sf)
+    copies = t.withColumns({"turn": F.col("turn") + 1000, "text": F.concat(F.lit("Again "), F.col("text"))})
+    return X.near_copy_pairs(t.unionByName(copies), "conv_id", "turn").withColumn("ratio", F.round("ratio", 4))
 
 
 @query()
@@ -73,7 +76,7 @@ def json_repair(spark, sf):
     return r.select("event_id", X.repair_json(F.col("raw")).alias("repaired"))
 
 
-@query()
+@query("SELECT event_id, unnest([0, 1])::INT AS ord, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS object FROM events")
 def json_salvage(spark, sf):
     X.register_salvage(spark)
     e = table(spark, sf, "events").selectExpr("event_id", """concat('{"items": [', props, ', ', props, ', {"k": ', cast(event_id AS STRING)) AS raw""")

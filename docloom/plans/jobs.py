@@ -60,3 +60,35 @@ SELECT job_id, CASE WHEN status = 'running' AND rate > 0.05 THEN cast(ceil((100
 def job_eta(spark, sf):
     jobs = J.elapsed(_jobs(spark, sf)).withColumn("elapsed_s", F.floor(F.col("elapsed_s") / 3600))
     return jobs.select("job_id", J.eta(F.col("progress"), F.col("elapsed_s"), F.col("status")).alias("eta_s"))
+
+
+@query(
+    f"""WITH {_EVENTS}, asked AS (SELECT DISTINCT o_custkey AS job_id FROM orders), stored AS (SELECT c_custkey AS job_id, c_name AS result FROM customer)
+SELECT a.job_id, CASE WHEN status = 'done' THEN result END AS result, CASE WHEN coalesce(status, '') <> 'done' OR result IS NULL THEN 'not ready' END AS error
+FROM asked a LEFT JOIN jobs j ON j.job_id = a.job_id LEFT JOIN stored s ON s.job_id = a.job_id"""
+)
+def job_result(spark, sf):
+    """Customers' names as stored results, asked for by the customers of orders."""
+    ids = table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id")).distinct()
+    stored = table(spark, sf, "customer").select(F.col("c_custkey").alias("job_id"), F.col("c_name").alias("result"))
+    return J.results(ids, _jobs(spark, sf), stored)
+
+
+@query(
+    f"""WITH {_EVENTS}, needs AS (SELECT c_custkey AS job_id, [c_mktsegment, cast(c_nationkey % 3 AS VARCHAR)] AS needs, cast(c_nationkey AS VARCHAR) AS location, c_acctbal AS cost FROM customer),
+m AS (
+  SELECT n.job_id, j.status, cost, 60.0::DOUBLE * len(list_filter(needs, lambda x: x IN ('BUILDING', 'MACHINERY', '1'))) / 2
+    + CASE WHEN location IN ('1', '2', '3', '5', '8') THEN 20 ELSE 0 END + CASE WHEN cost <= 5000 THEN 20 ELSE 0 END AS points, list_contains(needs, 'FURNITURE') AS excluded
+  FROM needs n LEFT JOIN jobs j USING (job_id))
+SELECT job_id, CASE WHEN status = 'done' THEN CASE WHEN excluded THEN 0 ELSE cast(floor(points + 0.5) AS INT) END END AS match_score,
+  CASE WHEN status = 'done' THEN CASE WHEN cost <= 2500 THEN 'High' WHEN cost <= 5000 THEN 'Medium' ELSE 'Low' END END AS cost_feasibility,
+  CASE WHEN coalesce(status, '') <> 'done' THEN 'not ready' END AS error FROM m"""
+)
+def job_score(spark, sf):
+    """Customers as results that are held against one profile."""
+    needs = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("job_id"), F.array("c_mktsegment", (F.col("c_nationkey") % 3).cast("string")).alias("needs"), F.col("c_nationkey").cast("string").alias("location"), F.col("c_acctbal").alias("cost")
+    )
+    words = lambda *w: F.array(*map(F.lit, w))
+    profile = spark.range(1).select(words("BUILDING", "MACHINERY", "1").alias("capabilities"), words("1", "2", "3", "5", "8").alias("locations"), words("FURNITURE").alias("exclusions"), F.lit(5000.0).alias("budget"))
+    return J.scores(needs.select("job_id"), _jobs(spark, sf), needs, profile)

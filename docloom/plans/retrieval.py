@@ -117,9 +117,8 @@ def bm25_index(spark, sf):
 
 
 def _scores(spark, sf):
-    c, q = children(spark, sf), questions(spark, sf)
-    post, stats = R.postings(c), R.corpus_stats(c)
-    return R.bm25(post, stats, R.term_idf(post, stats), q), stats, q
+    q = questions(spark, sf)
+    return *R.scored_children(children(spark, sf), q), q
 
 
 @query(scored() + "SELECT query_id, doc_id, child_no, round(score, 6) AS score FROM scores")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docloom.config import HEADER_PATTERNS, TABLE_KEYWORDS
 from docloom.functions import text as X
-from docloom.operators import tables as T
+from docloom.operators import scoring as S, tables as T
 from docloom.registry import query, table
 
 _ITEMS = "CASE p_size % 4 WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN {c} ELSE {d} END"
@@ -15,9 +15,9 @@ _TEXT = "p_name || ' ' || p_type || ' part number ' || cast(p_partkey AS {s})"
 
 def _headers(array: str) -> str:
     lists = (
-        ("Sr. No.", "Item Description", "Specification Details", "Unit of Measure", "Quantity"),
+        ("S. No.", "Equipment", "Specified Details", "UOM", "Qty"),
         ("Sr No", "Description", "Technical Parameter", "Tolerance Range", "IS Code", "Grade"),
-        ("Sl No", "Name of Material", "Required Quantity", "Rate"),
+        ("Index", "Particulars", "Amount", "Volume"),
         ("Index", "Remarks"),
     )
     a, b, c, d = (array.format(", ".join(f"'{h}'" for h in x)) for x in lists)
@@ -224,3 +224,35 @@ def tables_filter_nonempty(spark, sf):
 def specs_search(spark, sf):
     bucket = X.confidence_bucket(F.col("p_size"), 31, 11)
     return table(spark, sf, "part").filter((bucket == "MEDIUM") & F.contains(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), F.lit("bolt"))).select("p_partkey")
+
+
+_SHOWN = "list_filter([struct_pack(k := 'specification_text', v := p_type), struct_pack(k := 'unit', v := CASE WHEN p_size % 2 = 0 THEN 'NOT_FOUND' ELSE 'mm' END), struct_pack(k := 'material', v := CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END)], lambda x: x.v NOT IN ('', 'NOT_FOUND'))"
+
+
+@query(
+    f"""SELECT p_brand AS doc_id, cast(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS place,
+  CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_type ELSE 'Spec ' || cast(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS VARCHAR) END AS component,
+  CASE WHEN p_partkey % 4 = 0 THEN 'a: b' ELSE array_to_string(list_transform({_SHOWN}, lambda x: x.k || ': ' || x.v), ', ') END AS shown,
+  CASE p_size % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
+  CASE WHEN p_size % 7 = 0 THEN 'NOT_FOUND' ELSE p_name END AS exact_text FROM part"""
+)
+def specs_display(spark, sf):
+    """Parts as specifications of both shapes."""
+    size, part = F.col("p_size"), F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf, "part").select(
+        F.col("p_brand").alias("doc_id"),
+        part.alias("ord"),
+        F.when(part % 3 == 0, F.col("p_name")).when(part % 3 == 1, "").alias("component"),
+        F.when(part % 3 == 1, F.col("p_type")).alias("item_name"),
+        F.when(part % 4 == 0, F.create_map(F.lit("a"), F.lit("b"))).alias("specs"),
+        F.col("p_type").alias("specification_text"),
+        F.when(size % 2 == 0, "NOT_FOUND").otherwise("mm").alias("unit"),
+        *[none.alias(c) for c in ("numeric_value", "tolerance", "standard_reference", "chunk_id", "clause")],
+        F.when(size % 5 == 0, "").otherwise(F.col("p_brand")).alias("material"),
+        F.when(size % 3 == 0, "HIGH").when(size % 3 == 1, "0.5").otherwise("none").alias("confidence"),
+        F.when(size % 7 != 0, F.col("p_name")).alias("exact_text"),
+        F.lit(None).cast("int").alias("page"),
+    )
+    out = S.display_specs(rows, "doc_id", "ord")
+    return out.select("doc_id", "place", "component", S.first_entries(F.col("specs")).alias("shown"), "confidence", "exact_text")

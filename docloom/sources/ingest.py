@@ -18,7 +18,7 @@ from docloom.config import DEFAULT, Config
 from docloom.functions.text import strip
 from docloom.session import ship
 
-PAGES = "doc_id string, page int, text string, is_ocr boolean, headings array<string>, error string"
+PAGES = "doc_id string, page int, text string, is_ocr boolean, headings array<string>, tables array<array<array<string>>>, error string"
 
 
 def suffix(path: Column) -> Column:
@@ -57,7 +57,7 @@ def joined_cells(cells: Column) -> Column:
 
 
 def docx_pages(data: bytes) -> list[dict]:
-    """Paragraphs, then table rows, of a DOCX file as one page, by the standard library."""
+    """Paragraphs, then table rows, of a DOCX file as one page, by the standard library; tables also as cells."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
@@ -67,7 +67,9 @@ def docx_pages(data: bytes) -> list[dict]:
         cells = [c for cell in row.findall(f"{w}tc") if (c := "\n".join(text(p) for p in cell.iter(f"{w}p")).strip())]
         if cells:
             lines.append(" | ".join(cells))
-    return [{"page": 1, "text": "\n".join(lines), "headings": []}]
+    cell_text = lambda cell: "\n".join(text(p) for p in cell.iter(f"{w}p"))
+    tables = [[[cell_text(c) for c in row.findall(f"{w}tc")] for row in t.findall(f"{w}tr")] for t in body.iter(f"{w}tbl")]
+    return [{"page": 1, "text": "\n".join(lines), "headings": [], "tables": tables}]
 
 
 def text_pages(data: bytes) -> list[dict]:
@@ -95,10 +97,10 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict
                     parse = parsers[m.group(1).lower() if m else ""]
                     for p in parse(bytes(content)):
                         scanned = len(p["text"].strip()) < limit and ocr is not None
-                        rows.append((path, p["page"], ocr(bytes(content), p["page"]) if scanned else p["text"], scanned, p["headings"], None))
+                        rows.append((path, p["page"], ocr(bytes(content), p["page"]) if scanned else p["text"], scanned, p["headings"], p.get("tables") or [], None))
                 except Exception as e:  # one bad file does not stop the others
-                    rows.append((path, 0, "", False, [], f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "text", "is_ocr", "headings", "error"])
+                    rows.append((path, 0, "", False, [], [], f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "text", "is_ocr", "headings", "tables", "error"])
 
     return files.select("path", "content").mapInPandas(run, PAGES)
 

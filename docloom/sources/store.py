@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 
+def _absent(e: AnalysisException) -> bool:
+    """Whether a read failed because there is nothing at the path; other faults are the caller's to see."""
+    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def save_by_document(df: DataFrame, path: str) -> None:
     """Replace the folders of the documents in ``df``; those of others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
@@ -15,7 +20,9 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
     """The store's rows; None if there is none yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not _absent(e):
+            raise
         return None
 
 
@@ -53,5 +60,12 @@ def load_profile(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Profiles of a JSON file; no rows if there is none."""
     try:
         return spark.read.schema(schema).json(path, multiLine=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not _absent(e):
+            raise
         return spark.createDataFrame([], schema)
+
+
+def save_profile(profile: DataFrame, path: str) -> None:
+    """The profile takes the place of the one before as a whole."""
+    profile.coalesce(1).write.mode("overwrite").json(path)

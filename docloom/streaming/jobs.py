@@ -14,11 +14,12 @@ def job_events(raw: DataFrame) -> DataFrame:
     return raw.select("event_id", F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), progress.alias("progress"))
 
 
-def latest_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The state of each job in update mode. Late events change a state only if they are the last by
-    time; the watermark names how late one may be for its time window's state to be kept."""
+def latest_stream(events: DataFrame) -> DataFrame:
+    """The state of each job in update mode. One row of state is kept for each job, for ever: a job may go on
+    at any time, so no watermark can drop it (the grouping has no event time). Jobs that are deleted leave
+    by ``jobs.without_deleted`` where the result is read."""
     newest = F.max_by(F.struct("status", "progress", "event_id"), F.struct("ts", "event_id")).alias("s")
-    return events.withWatermark("ts", delay).groupBy("job_id").agg(newest, F.max("ts").alias("updated_at"))
+    return events.groupBy("job_id").agg(newest, F.max("ts").alias("updated_at"))
 
 
 def throughput_stream(events: DataFrame, width: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
