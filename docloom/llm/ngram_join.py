@@ -508,7 +508,7 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, order, n: int,
 
 
 def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (shingle, digest, …) with their root, of shingles whose members have several roots."""
+    """Members (shingle, digest) with their root, of shingles whose members have several roots."""
     at = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     several = at.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("shingle")
     return at.join(several, "shingle", "left_semi")
@@ -522,12 +522,12 @@ def stars(members: DataFrame) -> DataFrame:
     return members.join(centre, "shingle").select("a", F.col("digest").alias("b")).filter("a <> b")
 
 
-def between(at: DataFrame, percent: int, closest: bool) -> DataFrame:
+def between(at: DataFrame, classes: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs of a shingle's members with different roots that bounds let link: for each two roots the closest
     pair by sketches, or all. Two classes of up to ``LISTED`` such shingles are paired at the least one
     they share; others at each, and made distinct."""
     lists = at.groupBy("digest").agg(F.collect_list("shingle").alias("all")).select("digest", F.when(F.size("all") <= LISTED, F.col("all")).alias("all"))
-    at = at.join(lists, "digest")
+    at = at.join(lists.join(classes.select("digest", "n", "sketch"), "digest"), "digest")
     x, y = at.alias("x"), at.alias("y")
     apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.root") != F.col("y.root"))
     once = F.coalesce(F.array_min(F.array_intersect("x.all", "y.all")) == F.col("x.shingle"), F.lit(True))
@@ -558,16 +558,17 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     large = cut(candidates.filter("large").select("shingle", F.explode(F.array("a", "b")).alias("digest")).distinct())
     pairs = cut(candidates.filter("not large").select("a", "b").unionByName(stars(large)).distinct())
     named = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    first = F.min_by(F.struct("n", "sketch", "wide", F.struct("doc_id", "text_key").alias("doc")), F.struct("doc_id", "text_key"))
-    classes = cut(members.filter("prefix is not null").join(named, "digest", "left_semi").groupBy("digest").agg(first.alias("x")).select("digest", "x.n", "x.sketch", "x.wide", "x.doc"))
+    ours = members.filter("prefix is not null").join(named, "digest", "left_semi").groupBy("digest")
+    first = F.min_by(F.struct("n", "sketch", F.struct("doc_id", "text_key").alias("doc")), F.struct("doc_id", "text_key"))
+    classes = cut(ours.agg(first.alias("x")).select("digest", "x.n", "x.sketch", "x.doc"))
+    wides = cut(ours.agg(F.min("wide").alias("wide")).filter("wide is not null"))
 
     def fits(pairs: DataFrame) -> DataFrame:
         x, y = classes.alias("x"), classes.alias("y")
         both = pairs.alias("p").join(x, F.col("p.a") == F.col("x.digest")).join(y, F.col("p.b") == F.col("y.digest"))
-        return narrowed(both.filter(_may_link(percent)).select("p.a", "p.b", F.col("x.n").alias("m"), F.col("y.n").alias("n"), F.col("x.wide").alias("v"), F.col("y.wide").alias("w")))
-
-    def narrowed(pairs: DataFrame) -> DataFrame:
-        return pairs.mapInArrow(_wide_filter(percent), "a bigint, b bigint")
+        both = both.filter(_may_link(percent)).select("p.a", "p.b", F.col("x.n").alias("m"), F.col("y.n").alias("n"))
+        v, w = wides.select(F.col("digest").alias("a"), F.col("wide").alias("v")), wides.select(F.col("digest").alias("b"), F.col("wide").alias("w"))
+        return both.join(v, "a", "left").join(w, "b", "left").select("a", "b", "m", "n", "v", "w").mapInArrow(_wide_filter(percent), "a bigint, b bigint")
 
     rest = cut(fits(pairs))
     links = cut(linked(d, classes, rest, order, n, percent))
@@ -575,10 +576,9 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     found = components(links)
 
     if not large.isEmpty():
-        members_of = cut(large.join(classes.select("digest", "n", "sketch"), "digest"))
         for closest in (True, False):
-            at = cut(mixed(members_of, found))
-            rest = cut(fits(between(at, percent, closest)))
+            at = cut(mixed(large, found))
+            rest = cut(fits(between(at, classes, percent, closest)))
             if not rest.isEmpty():
                 links = cut(links.unionByName(linked(d, classes, rest, order, n, percent)))
                 found = components(links)
