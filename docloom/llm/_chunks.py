@@ -35,8 +35,8 @@ class Memory(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
+        value = self.old.get(key, self)
+        if value is self:
             value = self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)

@@ -10,6 +10,7 @@ if it is longer than a block.
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -149,16 +150,34 @@ def batches(it, text: int | None = None, most: int = 1 << 22):
                 yield batch.slice(a, b - a)
 
 
-def freed(run):
-    """``run`` for mapInArrow, after which the worker gives memory that it no longer uses back to the
-    system; workers live on after a task, and each executor has several."""
+_KEPT: dict = {}
+
+
+def keeps(name: str, clear) -> None:
+    """``clear`` empties what an operator keeps in a worker from one task to the next."""
+    _KEPT[name] = clear
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freed(run, name: str = ""):
+    """``run`` for mapInArrow in a worker that lives on after a task, and that may have served others: what
+    operators of other names keep is let go before, and unused memory is given back to the system after."""
 
     def with_release(it):
+        others = [clear for other, clear in _KEPT.items() if other != name]
+        for clear in others:
+            clear()
+        if others:
+            gc.collect()  # what was kept may hold itself
+            _release()
         yield from run(it)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        _release()
 
     return with_release

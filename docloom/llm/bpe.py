@@ -25,14 +25,16 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docloom.llm._chunks import Memory, chunks
-from docloom.llm._words import batches
+from docloom.llm._words import batches, freed, keeps
 from docloom.session import ship
 
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 #: The split pattern of the usual byte-level vocabularies (a fixed value).
 USUAL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes from which a piece's prefixes are not shared with other pieces.
 LONG = 256
+#: Bytes by which tokens that can end a prefix are looked up.
+_TAIL = 3
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +50,14 @@ class Vocabulary:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self._whole: dict[int, bool] = {}
-        self._apart: dict[int, bool] = Memory(self._stays_apart, 1 << 20)
+        self.parts: dict[int, tuple[int, int] | None] = Memory(self._parts, len(ranks))
+        self._apart: dict[int, bool] = Memory(self._stays_apart, 1 << 16)
+        by_tail: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) >= _TAIL:
+                by_tail.setdefault(token[-_TAIL:], set()).add(len(token))
+        self._by_tail = by_tail
+        self.lengths: dict[bytes, tuple[int, ...]] = Memory(self._lengths, 1 << 16)
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by repeated merging of the pair of least rank; the rule that prefixes follow."""
@@ -68,14 +77,48 @@ class Vocabulary:
             known = self._whole[i] = self.merged(self.bytes_of[i]) == [i]
         return known
 
+    def _parts(self, i: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a whole token joins; None for a byte."""
+        data, get = self.bytes_of[i], self.ranks.get
+        if len(data) == 1:
+            return None
+        parts = [data[k : k + 1] for k in range(len(data))]
+        while len(parts) > 2:
+            ranks = [get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
+            k = min(range(len(ranks)), key=ranks.__getitem__)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return get(parts[0]), get(parts[1])
+
     def _stays_apart(self, pair: int) -> bool:
+        """Whether merging the bytes of two whole tokens leaves the border between them. Merges are undone from
+        the last one back; at each moment the tokens at the border must not have a merge that comes earlier
+        than what was undone (of two merges of one rank, the left one is earlier)."""
         a, b = divmod(pair, 1 << 32)
-        return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        get, data, parts, until = self.ranks.get, self.bytes_of, self.parts, 1 << 60
+        while True:
+            merge = get(data[a] + data[b])
+            if merge is not None and merge < until:
+                return False
+            of_a, of_b = parts[a], parts[b]
+            if of_a is not None and (of_b is None or a > b):
+                until, a = a, of_a[1]
+            elif of_b is not None:
+                until, b = b + 1, of_b[0]
+            else:
+                return True
+
+    def _lengths(self, tail: bytes) -> tuple[int, ...]:
+        """Lengths of tokens that end with a tail of ``_TAIL`` bytes, or that a shorter one ends with; longest first."""
+        short = [n for n in range(1, min(_TAIL, len(tail) + 1)) if tail[-n:] in self.ranks]
+        return tuple(sorted([*self._by_tail.get(tail, ()), *short], reverse=True))
 
     def last_token(self, data: bytes, last) -> int:
         """The token that ends data's encoding; ``last(n)`` is the one that ends that of data[:n]."""
         get, known, apart, end = self.ranks.get, self._whole, self._apart, len(data)
-        for begin in range(max(0, end - self.longest), end):
+        for n in self.lengths[data[-_TAIL:]]:
+            begin = end - n
+            if begin < 0:
+                continue
             i = get(data[begin:])
             if i is not None and (known.get(i) or self.whole(i)) and (begin == 0 or apart[last(begin) << 32 | i]):
                 return i
@@ -228,6 +271,9 @@ def codec_of(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+keeps("bpe", codec_of.cache_clear)
+
+
 def _encode(path: str, pattern: str, with_ids: bool):
     def run(it):
         codec = codec_of(path, pattern)
@@ -257,7 +303,7 @@ def bpe_encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     shape = T.StructType([docs.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         shape = shape.add("ids", T.ArrayType(T.IntegerType()))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_encode(path, pattern, with_ids), shape)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(freed(_encode(path, pattern, with_ids), "bpe"), shape)
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docloom.llm._chunks import chunks
-from docloom.llm._words import batches
+from docloom.llm._words import batches, freed, keeps
 from docloom.session import ship
 
 REMEMBERED = 1 << 20
@@ -33,7 +33,7 @@ def by_bytes(texts, most: int = BATCH_BYTES):
     out, size = [], 0
     for x in texts:
         out.append(x)
-        size += len(x)
+        size += len(x.encode())
         if size >= most:
             yield out
             out, size = [], 0
@@ -90,6 +90,9 @@ def counter_of(path: str) -> Counter:
     return Counter(path)
 
 
+keeps("tokens", counter_of.cache_clear)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text."""
     ship(docs.sparkSession)
@@ -103,4 +106,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), sizes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     shape = T.StructType([docs.schema["doc_id"]]).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, shape)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(freed(run, "tokens"), shape)

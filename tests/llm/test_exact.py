@@ -211,6 +211,17 @@ def test_bpe_small_memory_and_edits():
         assert p.ids() == codec.vocabulary.merged((t[:i] + new + t[j:]).encode())
 
 
+def test_tokens_stay_apart():
+    """Pairs of tokens against plain merging of their bytes."""
+    v, rng = Codec(read_ranks(RANKS), public_tokenizers.PATTERN).vocabulary, random.Random(5)
+    whole = [i for i in rng.sample(sorted(v.bytes_of), 1500) if v.whole(i)] + list(range(256))
+    pairs = [(rng.choice(whole), rng.choice(whole)) for _ in range(4000)] + [(i, i) for i in whole[:300]]
+    for t in texts():
+        ids = v.merged(t.encode()[:200])
+        pairs += list(zip(ids, ids[1:]))
+    assert [v._apart[a << 32 | b] for a, b in pairs] == [v.merged(v.bytes_of[a] + v.bytes_of[b]) == [a, b] for a, b in pairs]
+
+
 def test_edit_keeps_far_prefixes():
     codec = Codec(read_ranks(RANKS), public_tokenizers.PATTERN)
     p = Prefixes(codec.vocabulary, b"thereof " * 200)
