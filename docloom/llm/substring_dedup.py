@@ -9,9 +9,10 @@ has two places or more. Automata go to the stretches by a shuffle on the anchor,
 because this reference grows with the corpus.
 
 Bounds: a stretch has at most ``min_words - K + 1`` windows, and an automaton's shard at most ``HOT``
-stretches. Anchors with more places (copies and passages found everywhere) never meet in one task:
-their stretches are first summed by content, then cut into windows that are summed in turn, with
-partial sums before each shuffle.
+stretches. Places of an anchor with more (copies and passages found everywhere) never meet in one task:
+their stretches are first summed by content, with partial sums before the shuffle. Up to ``HOT`` contents
+of an anchor make an automaton in which each counts as often as it has places; more contents are cut into
+windows, which are summed in turn by their hashes under the anchor.
 
 Defined results: a null text has no words and nothing is removed; an empty table gives an empty
 table; rows are documents of their own, also where doc_id or the whole row repeats or doc_id is null
@@ -210,10 +211,11 @@ def _mask(found: list[int]) -> int:
     return out
 
 
-def shard_masks(stretches: list[bytes], min_words: int) -> list[int]:
-    """For each stretch of one anchor's places, bits of its windows that are found twice or more."""
-    times = Counter(stretches)
-    if len(times) == 1 and len(stretches) > 1:  # one content: each window has a place in each
+def shard_masks(stretches: list[bytes], min_words: int, places: list[int] | None = None) -> list[int]:
+    """For each stretch of one anchor's places, bits of its windows that are found twice or more. places:
+    how many each stretch has, if they are given by content."""
+    times = Counter(stretches) if places is None else dict(zip(stretches, places))
+    if places is None and len(times) == 1 and len(stretches) > 1:  # one content: each window has a place in each
         return [(1 << (stretches[0].count(b" ") + 2 - min_words)) - 1] * len(stretches)
     automaton = Automaton()
     words = {s: s.split(b" ") for s in times}
@@ -223,8 +225,9 @@ def shard_masks(stretches: list[bytes], min_words: int) -> list[int]:
     return [masks[s] for s in stretches]
 
 
-def _shards(min_words: int):
-    """Rows sorted by anchor, at most HOT to an anchor, to (doc_id, text_key, at, mask)."""
+def _shards(min_words: int, by_content: bool = False):
+    """Rows sorted by anchor, at most HOT to an anchor, to (doc_id, text_key, at, mask); contents (anchor,
+    stretch_key, times, stretch) to (anchor, stretch_key, mask)."""
 
     def run(it):
         anchor, held = None, None  # rows of the anchor that goes on in the next batch
@@ -232,11 +235,12 @@ def _shards(min_words: int):
         def judged(t: pa.Table):
             a = t.column("anchor").to_numpy()
             s = t.column("stretch").to_pylist()
+            times = t.column("times").to_pylist() if by_content else None
             edges = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
             masks: list[int] = []
             for i, j in zip(edges, edges[1:]):
-                masks += shard_masks(s[i:j], min_words) if j > i else []
-            t = t.drop_columns(["anchor", "stretch"]).append_column("mask", pa.array(masks, pa.int64()))
+                masks += shard_masks(s[i:j], min_words, times and times[i:j]) if j > i else []
+            t = t.drop_columns(["times", "stretch"] if by_content else ["anchor", "stretch"]).append_column("mask", pa.array(masks, pa.int64()))
             return t.filter(pa.array([m != 0 for m in masks], pa.bool_())).to_batches()
 
         for b in batches(it):
@@ -370,12 +374,16 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataF
         .sortWithinPartitions("anchor")
         .mapInArrow(_shards(min_words), _schema(d, ("at", "bigint"), ("mask", "bigint")))
     )
-    # A hot anchor: sums by content, then by window; rows find their content's mask by a join.
+    # A hot anchor: sums by content, then an automaton or sums by window; rows find their content's mask by a join.
     hot = part(True).withColumn("stretch_key", F.xxhash64("stretch", "anchor"))
-    contents = hot.groupBy("anchor", "stretch_key", "stretch").agg(F.count(F.lit(1)).alias("times"))
-    windows = contents.select("anchor", "stretch", "stretch_key", "times").mapInArrow(_hot_windows(min_words), "anchor bigint, window bigint, nth bigint, stretch_key bigint, times bigint")
+    contents = cut(hot.groupBy("anchor", "stretch_key", "stretch").agg(F.count(F.lit(1)).alias("times")))
+    many = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("anchor")
+    few = contents.join(many, "anchor", "left_anti").select("anchor", "stretch_key", "times", "stretch")
+    judged = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(min_words, True), "anchor bigint, stretch_key bigint, mask bigint")
+    windows = contents.join(many, "anchor", "left_semi").select("anchor", "stretch", "stretch_key", "times").mapInArrow(_hot_windows(min_words), "anchor bigint, window bigint, nth bigint, stretch_key bigint, times bigint")
     twice = windows.groupBy("anchor", "window").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor", "window")
     masks = windows.join(twice, ["anchor", "window"]).groupBy("anchor", "stretch_key").agg(F.bit_or(F.expr("shiftleft(1L, cast(nth as int))")).alias("mask"))
+    masks = judged.unionByName(masks)
     hot = hot.select("doc_id", "text_key", "at", "anchor", "stretch_key").join(masks, ["anchor", "stretch_key"]).select("doc_id", "text_key", "at", "mask")
     return some, cold.unionByName(hot)
 
