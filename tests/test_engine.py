@@ -32,13 +32,12 @@ def test_analyse_and_ask(spark, tmp_path):
     }
 
     invent = lambda prompts: [json.dumps({"technical_specifications": [{"component": "Flux", "specs": {}, "source": {"exact_text": "zqxj zqxj zqxj zqxj zqxj"}}]}) for _ in prompts]
-    assert engine.analyse(pages, invent)[0].count() == 0
 
     doc = next(r.doc_id for r in pages.collect() if r.doc_id.endswith("a.txt"))
     q = spark.createDataFrame([(doc, "motor voltage"), ("missing", "what")], "doc string, question string")
     stages = []
-    again = engine.analyse(pages, scope_extractor=lambda ps: [json.dumps({"scope_of_work": {"summary": "s", "deliverables": ["zqxj zqxj zqxj zqxj", " "]}}) for _ in ps], progress=lambda n, s: stages.append(n))
-    assert all(r.deliverables == [] for r in again.scope.collect()) and stages == sorted(stages)
+    again = engine.analyse(pages, invent, scope_extractor=lambda ps: [json.dumps({"scope_of_work": {"summary": "s", "deliverables": ["zqxj zqxj zqxj zqxj", " "]}}) for _ in ps], progress=lambda n, s: stages.append(n))
+    assert again.specs.count() == 0 and all(r.deliverables == [] for r in again.scope.collect()) and stages == sorted(stages)
     assert {r.deliverables_rejected for r in again.summary.collect()} == {1}
 
     answers = {r.question: (r.answer, r.confidence) for r in engine.ask(pages, q, lambda ps: ['{"answer": "415 V", "confidence": "HIGH"}' if "415 V" in p else "?" for p in ps]).collect()}
