@@ -168,14 +168,14 @@ def analyse(
     scored = cut(V.grounding(claims.unionByName(due), hits, ["doc"]))
     judged = scored.withColumn("component", F.when(F.col("kind") == "spec", V.normalise_component(F.col("component"), F.col("specs")["specification"])).otherwise(F.col("component")))
     documents = pages.select(F.col("doc_id").alias("doc")).distinct()
-    summary = documents.join(V.validate(judged, "doc", cfg), "doc", "left").na.fill(0)
+    counts = V.validate(judged, "doc", cfg)
+    summary = X.filled(documents, counts, "doc", {c: F.lit(0).cast(t) for c, t in counts.dtypes if c != "doc"})
     kept = judged.filter(V.is_accepted(F.col("score"), cfg))
     specs = kept.filter("kind = 'spec'").select("doc", "src", "component", "specs", "exact_text", F.round("score", 4).alias("confidence"))
-    clean = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
     grounded = kept.filter("kind = 'deliverable'").groupBy("doc").agg(F.array_sort(F.collect_set("component")).alias("_kept"))
     whole = documents.join(merged, "doc", "left").join(grounded, "doc", "left")
-    in_text = clean(F.array_intersect("deliverables", F.coalesce("_kept", F.array().cast("array<string>"))))
-    scope_of = whole.select("doc", F.coalesce(F.nullif("summary", F.lit("")), F.lit(NOT_FOUND)).alias("summary"), in_text.alias("deliverables"), *[clean(F.col(c)).alias(c) for c in ("exclusions", "locations", "references")])
+    in_text = V.clean_list(F.array_intersect("deliverables", F.coalesce("_kept", F.array().cast("array<string>"))))
+    scope_of = whole.select("doc", F.coalesce(F.nullif("summary", F.lit("")), F.lit(NOT_FOUND)).alias("summary"), in_text.alias("deliverables"), *[V.clean_list(F.col(c)).alias(c) for c in ("exclusions", "locations", "references")])
     return Analysis(specs, scope_of, summary)
 
 

@@ -88,6 +88,12 @@ def display_specs(specs: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
+def search_specs(specs: DataFrame, text: str, columns: list[str], bucket: Column | None = None, wanted: str | None = None) -> DataFrame:
+    """Specifications whose columns hold the text in any case, and whose bucket is the wanted one, if one is."""
+    found = specs.filter(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lower(F.lit(text))))
+    return found if wanted is None else found.filter(bucket == wanted)
+
+
 def add_tags(tags: Column, new: Column) -> Column:
     """The list with the trimmed tag, if it is not empty and not there."""
     t = F.trim(new)

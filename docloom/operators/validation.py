@@ -152,6 +152,11 @@ def validate(scored: DataFrame, key: str, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
+def clean_list(c: Column) -> Column:
+    """The strings of a list that are not blank, as they are; an empty list for null."""
+    return F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: strip(x) != "")
+
+
 def quarantine(specs: DataFrame) -> DataFrame:
     """Rows with their fault, or null: component blank, confidence outside 0 to 1."""
     blank = F.coalesce(strip(F.col("component")) == "", F.lit(True))

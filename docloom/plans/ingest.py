@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import SCOPE_QUERIES, SPEC_QUERIES, TOPIC_PATTERNS
 from docloom.functions.text import expand_query
+from docloom.operators import extraction as E
 from docloom.operators.tables import table_specs as specs_of
 from docloom.plans.chunks import PAGES, pages
 from docloom.plans.specs import _VALUES, rows as part_rows
@@ -72,8 +73,7 @@ def result_json(spark, sf):
 @query("SELECT d.doc_id, coalesce(l.quality * 100.0, 0.0)::DOUBLE AS accuracy, CASE WHEN l.doc_id IS NULL THEN 'NOT_FOUND' ELSE 'found' END AS summary FROM documents d LEFT JOIN labels l USING (doc_id)")
 def empty_result_fill(spark, sf):
     found = table(spark, sf, "labels").select("doc_id", (F.col("quality") * 100.0).alias("accuracy"), F.lit("found").alias("summary"))
-    joined = table(spark, sf, "documents").select("doc_id").join(found, "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), F.coalesce("summary", F.lit("NOT_FOUND")).alias("summary"))
+    return E.filled(table(spark, sf, "documents").select("doc_id"), found, "doc_id", {"accuracy": F.lit(0.0), "summary": F.lit("NOT_FOUND")})
 
 
 _TOPIC = "coalesce(" + ", ".join(f"nullif(left(regexp_extract(t, '(?i){p}', 0), 200), '')" for p in TOPIC_PATTERNS) + ", left(t, 300))"
@@ -126,13 +126,3 @@ def specs_union(spark, sf):
     a = specs_of(part_rows(spark, sf)).select(F.lit(0).alias("src"), "doc_id", "page", F.col("item_name").alias("component"))
     b = table(spark, sf, "part").select(F.lit(1).alias("src"), F.col("p_brand").alias("doc_id"), F.col("p_size").alias("page"), F.col("p_name").alias("component"))
     return a.unionByName(b)
-
-
-@query("WITH h AS (SELECT item_id % 4 AS query_id, item_id, text, row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id) AS rank FROM benchmark) SELECT DISTINCT query_id // 2 AS grp, item_id FROM h WHERE rank <= CASE WHEN query_id < 2 THEN 15 ELSE 10 END")
-def grounding_corpus(spark, sf):
-    """The retrieved hits of a document's specification and scope queries, which claims are held against."""
-    from pyspark.sql import Window as W
-
-    b = table(spark, sf, "benchmark").select((F.col("item_id") % 4).alias("query_id"), "item_id")
-    h = b.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("item_id")))
-    return h.filter(F.col("rank") <= F.when(F.col("query_id") < 2, 15).otherwise(10)).select(F.floor(F.col("query_id") / 2).alias("grp"), "item_id").distinct()

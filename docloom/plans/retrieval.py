@@ -304,3 +304,10 @@ SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION
 def rank_fusion(spark, sf):
     hits = R.hybrid_retrieve(children(spark, sf), vectors(spark, sf), _variants(spark, sf), 8)
     return rounded(R.reciprocal_rank_fusion(hits.withColumn("query_id", F.floor(F.col("query_id") / 10).cast("int")), 8))
+
+
+@query(scored().replace(f"<= {LIMIT})", "<= 75)") + "SELECT DISTINCT query_id // 2 AS grp, doc_id FROM hits WHERE rank <= CASE WHEN query_id < 2 THEN 15 ELSE 10 END")
+def grounding_corpus(spark, sf):
+    """What claims are held against: 15 hits of the first two questions, 10 of the others, each chunk once."""
+    hits = R.hybrid_retrieve(children(spark, sf), vectors(spark, sf), questions(spark, sf), 15)
+    return hits.filter(F.col("rank") <= F.when(F.col("query_id") < 2, 15).otherwise(10)).select(F.floor(F.col("query_id") / 2).cast("int").alias("grp"), "doc_id").distinct()

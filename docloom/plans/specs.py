@@ -223,7 +223,7 @@ def tables_filter_nonempty(spark, sf):
 @query("SELECT p_partkey FROM part WHERE (CASE WHEN p_size > 30 THEN 'HIGH' WHEN p_size > 10 THEN 'MEDIUM' ELSE 'LOW' END) = 'MEDIUM' AND contains(lower(concat_ws(' ', p_name, p_type, p_brand)), 'bolt')")
 def specs_search(spark, sf):
     bucket = X.confidence_bucket(F.col("p_size"), 31, 11)
-    return table(spark, sf, "part").filter((bucket == "MEDIUM") & F.contains(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), F.lit("bolt"))).select("p_partkey")
+    return S.search_specs(table(spark, sf, "part"), "Bolt", ["p_name", "p_type", "p_brand"], bucket, "MEDIUM").select("p_partkey")
 
 
 _SHOWN = "list_filter([struct_pack(k := 'specification_text', v := p_type), struct_pack(k := 'unit', v := CASE WHEN p_size % 2 = 0 THEN 'NOT_FOUND' ELSE 'mm' END), struct_pack(k := 'material', v := CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END)], lambda x: x.v NOT IN ('', 'NOT_FOUND'))"

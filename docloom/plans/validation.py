@@ -176,5 +176,5 @@ _LIST = "[p_name, NULL, ' ', p_type, '']"
 
 @query(f"SELECT p_partkey, array_to_string(list_filter({_LIST}, lambda x: x IS NOT NULL AND {_strip('x')} <> ''), '|') AS kept FROM part")
 def scope_lists_clean(spark, sf):
-    kept = F.filter(F.array("p_name", F.lit(None).cast("string"), F.lit(" "), "p_type", F.lit("")), lambda x: X.strip(x) != "")
+    kept = V.clean_list(F.array("p_name", F.lit(None).cast("string"), F.lit(" "), "p_type", F.lit("")))
     return table(spark, sf, "part").select("p_partkey", F.array_join(kept, "|").alias("kept"))
