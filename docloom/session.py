@@ -56,7 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="docloom-checkpoint-")
         sc.setCheckpointDir(folder)
