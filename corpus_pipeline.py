@@ -42,8 +42,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text."""
-    return bpe_encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text. Workers keep less than in a run of this stage
+    alone, because executors still hold what earlier stages took."""
+    return bpe_encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, remembered=1 << 17)
 
 
 STAGES = [
