@@ -115,11 +115,21 @@ def pack(text: Column, max_tokens: int = DEFAULT.max_tokens, overlap: int = DEFA
 
 def semantic_breaks(sentence_vectors: DataFrame, percent: float = 0.95) -> DataFrame:
     """Sentences (doc_id, ord, vector) with dist (cosine distance to the next), gradient of dist along the
-    document and part, which rises after each gradient above the document's percentile."""
-    from docloom.operators.retrieval import cosine
+    document and part, which rises after each gradient above the document's percentile.
 
-    order = W.partitionBy("doc_id").orderBy("ord")
-    near = sentence_vectors.withColumn("next", F.lead("vector").over(order)).withColumn("dist", F.when(F.col("next").isNotNull(), 1 - cosine(F.col("vector"), F.col("next"))))
+    Distances are not rounded, since gradients and the percentile are made of them. One is null beside a
+    vector that is null or empty, and NaN beside one of length zero. Sentences without ord come last.
+    """
+    from docloom.operators.retrieval import dot
+
+    order = W.partitionBy("doc_id").orderBy(F.asc_nulls_last("ord"))
+    square = F.when(F.size("vector") > 0, dot(F.col("vector"), F.col("vector")))
+    near = sentence_vectors.withColumn("square", square).withColumns({"next": F.lead("vector").over(order), "next_square": F.lead("square").over(order)})
+    # One root of the product: equal vectors are at exactly 0, and distances are those of the SQL to the last bit.
+    norm = F.sqrt(F.col("square") * F.col("next_square"))
+    cosine = F.when(norm == 0, F.lit(float("nan"))).otherwise(dot(F.col("vector"), F.col("next")) / norm)
+    dist = F.get(F.transform(F.array(cosine), lambda c: 1 - F.when(F.isnan(c) | c.between(-1, 1), c).otherwise(F.signum(c))), F.lit(0))
+    near = near.withColumn("dist", dist)
     d = near.filter("dist is not null").select("doc_id", "ord", "dist")
     up, down = F.lead("dist").over(order), F.lag("dist").over(order)
     gradient = F.when(up.isNull() & down.isNull(), 0.0).when(down.isNull(), up - F.col("dist")).when(up.isNull(), F.col("dist") - down).otherwise((up - down) / 2)

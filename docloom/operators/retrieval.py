@@ -88,8 +88,12 @@ def normalised(score: Column, low: Column, high: Column) -> Column:
     return F.when(high - low < 1e-9, F.lit(0.0)).otherwise((score - low) / (high - low))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    """The cosine by which hits are ranked, to PLACES places; 0 without a direction."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.round(F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0)), PLACES)
 
